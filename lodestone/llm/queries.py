@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, line_dedup
+from lodestone.llm import decontam, language_id, line_dedup, mixing, near_dup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return got.withColumn("keep", F.lower(F.hex("keep")))
@@ -32,6 +40,10 @@ FROM h GROUP BY doc_id
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,5 +59,11 @@ SELECT doc_id, item_id, CAST(min(p) AS INTEGER) AS doc_start, CAST(min(q) AS INT
 FROM r GROUP BY doc_id, item_id, p - q, island
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
-ORACLES = {"op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_source_mixing": op2_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_near_dedup": op6_near_dedup,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLES = {"op2_source_mixing": mixing.mix_sql(), "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}

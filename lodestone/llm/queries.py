@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, language_id, line_dedup, mixing, near_dup
+from lodestone.llm import decontam, language_id, line_dedup, mixing, near_dup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,20 @@ FROM h GROUP BY doc_id
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS p FROM d)),
+m AS (SELECT doc_id, p FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+r AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS new FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM r)
+SELECT doc_id, CAST(min(p) AS BIGINT) AS lo, CAST(max(p) + 50 AS BIGINT) AS hi FROM s GROUP BY doc_id, island
+"""
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,7 +77,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op2_source_mixing": mixing.mix_sql(), "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op2_source_mixing": mixing.mix_sql(), "op4_line_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op10_decontamination": OP10_SQL}

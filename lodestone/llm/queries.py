@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, language_id, line_dedup, mixing, near_dup, suffix_dedup
+from lodestone.llm import chat, decontam, language_id, line_dedup, media, mixing, near_dup, pii, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,43 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.rules_from(pages))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE c0 AS (SELECT DISTINCT url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages WHERE url IS NOT NULL),
+c AS (SELECT url, lower(regexp_replace(regexp_replace(regexp_extract(bare, '^([^/?]*)', 1), '^.*@', ''), ':\d*$', '')) AS host,
+  regexp_replace(CASE WHEN regexp_extract(bare, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(bare, '^[^/?]*([^?]*)', 1) END, '/{2,}', '/', 'g') AS path,
+  regexp_extract(bare, '^[^?]*(\?.*)$', 1) AS query FROM c0),
+k AS (SELECT DISTINCT expr, kind FROM (
+  SELECT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) || '/' AS expr, 1 AS kind FROM c UNION ALL
+  SELECT host || '/' || string_split(path, '/')[2] || '/', 2 FROM c WHERE len(string_split(path, '/')) > 2) WHERE expr <> '/'),
+r AS (SELECT expr, CASE WHEN md5(expr)[1] IN ('0', '1') THEN 'block' WHEN kind = 2 AND md5(expr)[1] IN ('2', '3', '4') THEN 'allow' END AS action FROM k),
+rules AS (SELECT expr, min(action) AS action FROM r WHERE action IS NOT NULL GROUP BY expr),
+h AS (SELECT url, path, query, array_to_string(l[i:], '.') AS h, len(l) - i + 1 AS labels FROM (
+  SELECT url, path, query, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')))) AS i FROM c)),
+p AS (SELECT url, path || query AS p FROM c UNION SELECT url, path FROM c UNION
+  SELECT url, array_to_string(s[1:i], '/') || '/' FROM (SELECT url, string_split(path, '/') AS s, unnest(range(1, len(string_split(path, '/')))) AS i FROM c)),
+m AS (SELECT h.url, rules.expr, rules.action, row_number() OVER (PARTITION BY h.url ORDER BY labels DESC, length(p) DESC, rules.action) AS n
+  FROM h JOIN p USING (url) JOIN rules ON rules.expr = h || p)
+SELECT page_id, pages.url, coalesce(action, 'allow') AS action, expr AS rule FROM pages LEFT JOIN m ON m.url = pages.url AND n = 1
+"""
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprint(media.clips(table(spark, sf_dir, "embeddings")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,9 +113,19 @@ FROM r GROUP BY doc_id, item_id, p - q, island
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
+    "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_near_dedup": op6_near_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_pii": op8_pii,
+    "op9_media_fingerprints": op9_media_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op2_source_mixing": mixing.mix_sql(), "op4_line_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {
+    "op2_source_mixing": mixing.mix_sql(),
+    "op4_line_dedup": OP4_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
+}

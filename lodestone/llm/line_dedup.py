@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.textkit import cut
+from lodestone.llm.textkit import cut, fresh
 
 SCHEMA = "doc_id long, n_lines long, n_kept long, keep binary"
 
@@ -130,26 +130,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counts.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")).mapInArrow(_bitmaps, SCHEMA)
 
 
-def _apply(batches):
-    for batch in batches:
-        texts, keeps = batch.column("text").to_pylist(), batch.column("keep").to_pylist()
-        out = []
-        for t, k in zip(texts, keeps):
-            out.append(t if t is None or k is None else "\n".join(line for line, keep in zip(t.split("\n"), decode_keep(k)) if keep))
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["keep"])
+def _apply(text_at, keep_name):
+    def run(batches):
+        for batch in batches:
+            texts, keeps = batch.column(text_at).to_pylist(), batch.column(keep_name).to_pylist()
+            out = [t if t is None or k is None else "\n".join(line for line, keep in zip(t.split("\n"), decode_keep(k)) if keep) for t, k in zip(texts, keeps)]
+            yield batch.set_column(text_at, "text", pa.array(out, pa.string())).drop_columns([keep_name])
+
+    return run
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Documents with only their kept lines; one that has no line left, or only blank ones where it had text, goes.
+    """Documents with only their kept lines; one that lost lines and has nothing but blanks left goes.
 
-    ``n_chars`` follows the new text. Documents that lost nothing pass unchanged.
+    ``n_chars`` follows the new text. Documents that lost nothing pass unchanged, those without an id among them. Extra
+    columns are kept, whatever their names.
     """
-    cut_docs = bitmaps.filter("n_kept < n_lines").select(F.col("doc_id").alias("_doc"), "keep")
-    joined = docs.join(cut_docs, docs["doc_id"] == cut_docs["_doc"], "left").drop("_doc")
-    touched = F.col("_touched")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _touched boolean"
-    out = joined.withColumn("_touched", F.col("keep").isNotNull()).select(*docs.columns, "_touched", "keep").mapInArrow(_apply, schema)
-    out = out.filter(~touched | (F.trim("text") != "") & F.col("text").rlike(r"\S"))
+    keep, doc, touched = (fresh(docs, n) for n in ("_keep", "_doc", "_touched"))
+    changed = bitmaps.filter("n_kept < n_lines").select(F.col("doc_id").alias(doc), F.col("keep").alias(keep))
+    joined = docs.join(changed, docs["doc_id"] == changed[doc], "left").drop(doc)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{touched}` boolean"
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(keep).isNotNull().alias(touched), keep).mapInArrow(_apply(docs.columns.index("text"), keep), fields)
+    out = out.filter(~F.col(touched) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(touched), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -194,6 +194,14 @@ def nonempty_reduce(op, values: np.ndarray, first: np.ndarray, empty) -> np.ndar
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lowered(text: str = "text"):
     return F.lower(F.coalesce(F.col(text), F.lit("")))
 

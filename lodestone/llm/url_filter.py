@@ -21,10 +21,10 @@ def canonical(url: Column) -> Column:
 
 def expressions(u: Column) -> Column:
     """All (expression, host labels, path length) of a canonical URL: each suffix of two labels or more of the host
-    (of an address only the whole), with the path and query, the path, and each of its directories."""
+    (of an address, all its labels numbers, only the whole), with the path and query, the path, and each of its directories."""
     labels = F.split(u["host"], r"\.")
     n = F.size(labels)
-    address = u["host"].rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
+    address = u["host"].rlike(r"^(\d+(\.\d+)*|\[.*\])$")
     hosts = F.when(address | (n < 2), F.array(u["host"])).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     )

@@ -7,6 +7,7 @@ from lodestone.llm.textkit import parts
 from tests.llm.util import DOCS, prose, seeded, table
 
 PLANTED = {"EMAIL": "jo.doe@mail.example.com", "PHONE": "+1 (555) 123-4567", "CARD": "4556737586899855", "IP": "10.20.30.40", "SECRET": "9f86d081884c7d659a2feaa0c55ad015"}
+UPPER = PLANTED["SECRET"].upper()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,12 @@ def test_planted_entities_are_found_and_clean_texts_left_alone(spark, model):
     assert got == truth | {last}
 
 
+def test_capital_secrets_are_found(model):
+    text = f"the key {UPPER} opens"
+    (_, _, data, offsets), = parts(pa.array([text]))
+    assert [x[:4] for x in entities(model, data, offsets)] == [(0, 8, 8 + len(UPPER), "SECRET")]
+
+
 def test_repeated_tokens_agree(model):
     """A weak occurrence takes the label of its strong copies, which it wouldn't on its own."""
     unary = np.full((9, 6), 1e-3, np.float32)

@@ -17,7 +17,7 @@ from lodestone.llm.textkit import Hasher, cut, grams, lowered, mixed, multiplier
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MARGIN = 3, 32, 4, 0.5, 0.1
 BASE, RATE, TOP = 1.001, 20.0, 65535
-MEMBERS_A_TASK = 4096
+MEMBERS_A_TASK, WANTED = 4096, 1 << 18
 
 
 def shingles(data, offsets, hasher, inside, k=SHINGLE):
@@ -183,40 +183,63 @@ def _grouped(batches, column):
         yield pa.Table.from_batches(waiting).combine_chunks()
 
 
-def _leaders(least):
-    """Within a bucket (rows sorted by bucket, turn): each leader is compared with every member, and the first
-    member that no leader has reached leads next. Buckets that are alike get linear work, none is capped."""
+def _meet(regs, root, least, patience):
+    """Pairs of one bucket (of unequal root, with an estimate of at least ``least``) and its open members.
+
+    Leaders are compared with every member of another root that has not led. A member waits to lead until ``patience``
+    leaders have reached it; then it stays open: no pair of two open members was compared. Roots with few members
+    lead first, so that a large group and a few strangers cost what the strangers do."""
+    _, group, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.argsort(sizes[group], kind="stable")
+    group, back = group[order], order
+    done, met = np.zeros(len(root), bool), np.zeros(len(root), np.int64)
+    ones, twos = [], []
+    while (waiting := ~done & (met < patience)).any():
+        lead = int(np.argmax(waiting))
+        own = ~done & (group == group[lead])
+        others = np.flatnonzero(~done & ~own)
+        if not len(others):
+            done |= own
+            continue
+        if len(others) < own.sum():
+            lead = int(others[0])
+            others = np.flatnonzero(~done & (group != group[lead]))
+        done[lead] = True
+        for i in range(0, len(others), 4096):
+            x = others[i : i + 4096]
+            rows = regs[back[x]]
+            near = x[joint_jaccard(rows, np.broadcast_to(regs[back[lead]], rows.shape)) >= least]
+            met[near] += 1
+            ones.append(np.full(len(near), back[lead]))
+            twos.append(back[near])
+    rest = np.flatnonzero(~done)
+    rest = rest if len(rest) and (group[rest] != group[rest[0]]).any() else rest[:0]
+    return [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (ones, twos)] + [back[rest]]
+
+
+def _leaders(least, patience):
+    """Rows sorted by bucket, turn: candidate pairs (a, b, null), and open members (doc_id, null, bucket)."""
 
     def run(batches):
         for rows in _grouped(batches, "bucket"):
-            bucket, doc = rows.column("bucket").to_numpy(), rows.column("doc_id").to_numpy()
+            bucket, doc, root = (rows.column(c).to_numpy() for c in ("bucket", "doc_id", "root"))
             regs = _matrix(rows.column("regs"))
             at = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            ones, twos = [], []
+            ones, twos, open_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             two = at[:-1][np.diff(at) == 2]
             for i in range(0, len(two), 4096):
                 x = two[i : i + 4096]
                 good = x[joint_jaccard(regs[x], regs[x + 1]) >= least]
-                ones.append(doc[good])
-                twos.append(doc[good + 1])
+                ones.append(good)
+                twos.append(good + 1)
             for lo, hi in zip(at[:-1], at[1:]):
-                if hi - lo < 3:
-                    continue
-                reached = np.zeros(hi - lo, bool)
-                while not reached.all():
-                    lead = int(np.argmin(reached))
-                    reached[lead] = True
-                    near = np.empty(hi - lo, bool)
-                    for i in range(lo, hi, 4096):
-                        own = regs[i : min(i + 4096, hi)]
-                        near[i - lo : i - lo + len(own)] = joint_jaccard(own, np.broadcast_to(regs[lo + lead], own.shape)) >= least
-                    near[lead] = False
-                    reached |= near
-                    ones.append(np.full(near.sum(), doc[lo + lead]))
-                    twos.append(doc[lo:hi][near])
-            if ones:
-                a, b = np.concatenate(ones), np.concatenate(twos)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                if hi - lo > 2:
+                    for found, out in zip(_meet(regs[lo:hi], root[lo:hi], least, patience), (ones, twos, open_)):
+                        out.append(lo + found)
+            one, two, rest = (np.concatenate(x) for x in (ones, twos, open_))
+            a, b = np.minimum(doc[one], doc[two]), np.maximum(doc[one], doc[two])
+            for cells in ((pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())), (pa.array(doc[rest], pa.int64()), pa.nulls(len(rest), pa.int64()), pa.array(bucket[rest], pa.int64()))):
+                yield pa.RecordBatch.from_arrays(list(cells), names=["a", "b", "bucket"])
 
     return run
 
@@ -253,33 +276,56 @@ def sketches(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_sketch, "doc_id long, n long, s long, x long, regs binary")
 
 
-def verified_pairs(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Pairs (a, b, jaccard) of representatives that meet in a band and pass the estimate and the exact comparison."""
-    band = reps.select("doc_id", "regs").mapInArrow(_bands(bands, rows), "key long, doc_id long")
-    found = band.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_buckets, "key long, n long, sign long, members array<long>")
-    # two documents meet in many bands: buckets with the same members are one bucket
-    buckets = found.groupBy("n", "sign").agg(F.min_by("members", "key").alias("members"), F.min("key").alias("bucket"))
-    seats = buckets.select("bucket", F.explode("members").alias("doc_id"))
-    seated = seats.join(reps.select("doc_id", "regs"), "doc_id").withColumn("turn", F.xxhash64("doc_id", "bucket"))
-    near = seated.repartition("bucket").sortWithinPartitions("bucket", "turn").select("bucket", "doc_id", "regs").mapInArrow(_leaders(threshold - MARGIN), "a long, b long")
-    pairs = cut(near.distinct())
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of distinct candidate pairs (a, b) whose whole texts pass: (a, b, jaccard)."""
     heat = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("salts"))
     leads = heat.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"), F.col("a").alias("_doc"))
     members = pairs.join(heat, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(False).alias("own"), F.col("b").alias("_doc"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered().alias("text"))
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if wanted.limit(WANTED + 1).count() <= WANTED:  # else the join by shuffle alone selects them
+        texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
     full = leads.unionByName(members).join(texts, F.col("_doc") == F.col("doc_id")).drop("_doc")
     ordered = full.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.desc("own"), "doc_id")
     return ordered.select("lead", "salt", "own", "doc_id", "text").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
+def linked(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, root) of representatives that meet in a band and pass the estimate and the exact comparison.
+
+    Rounds: only exact links make members of a bucket skip each other for good. Members that are open after a round and
+    not of one component then meet again, with four times the patience, until no bucket has such members."""
+    band = reps.select("doc_id", "regs").mapInArrow(_bands(bands, rows), "key long, doc_id long")
+    found = band.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_buckets, "key long, n long, sign long, members array<long>")
+    # two documents meet in many bands: buckets with the same members are one bucket
+    buckets = found.groupBy("n", "sign").agg(F.min_by("members", "key").alias("members"), F.min("key").alias("bucket"))
+    seats = buckets.select("bucket", F.explode("members").alias("doc_id")).withColumn("root", F.col("doc_id"))
+    tried, roots, patience = None, None, 1
+    while True:
+        seated = seats.join(reps.select("doc_id", "regs"), "doc_id").withColumn("turn", F.xxhash64("doc_id", "bucket"))
+        met = cut(seated.repartition("bucket").sortWithinPartitions("bucket", "turn").select("bucket", "doc_id", "root", "regs").mapInArrow(_leaders(threshold - MARGIN, patience), "a long, b long, bucket long"))
+        pairs = met.filter("bucket is null").select("a", "b").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = verified(docs, pairs, threshold).select("a", "b")
+        roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        left = met.filter("bucket is not null").select("bucket", F.col("a").alias("doc_id")).join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        live = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
+        seats = cut(left.join(live, "bucket", "left_semi"))
+        if seats.isEmpty():
+            return roots
+        patience *= 4
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of near duplicates: (doc_id, keep_id, exact) for every document of a group of two or more.
 
     Similarity is the Jaccard index of sets of three lower-cased words; a group is a connected component of pairs
     at or above ``threshold``; ``keep_id`` is its smallest doc_id; ``exact`` tells that the document has the same
     words as one with a smaller id or, for the smallest of them, that it has such a copy. Copies with equal words
-    are folded before the search, which makes groups of any size linear; of the rest every document is a query, no
-    candidate is dropped, and all pairs that are linked were verified on whole texts.
+    are folded before the search; of the rest every document is a query. Pairs of a band bucket are left out only if
+    exact links already connect them, or if their estimate is below ``threshold - MARGIN``; all pairs that are linked
+    were verified on whole texts.
 
     Null or empty text and texts without a word are in no group. Texts under three words are one shingle. Null ids
     are dropped; rows that repeat an id count once. Extra columns are ignored. An empty table gives no rows.
@@ -287,7 +333,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sk = cut(sketches(docs).dropDuplicates(["doc_id", "n", "s", "x"]))
     same = sk.groupBy("n", "s", "x").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
     reps = cut(same)
-    roots = components(verified_pairs(docs, reps, threshold, bands, rows))
+    roots = linked(docs, reps, threshold, bands, rows)
     kept = reps.select("n", "s", "x", "doc_id", "copies").join(roots, F.col("doc_id") == F.col("node"), "left").filter("copies > 1 or root is not null")
     kept = kept.select("n", "s", "x", F.coalesce("root", "doc_id").alias("keep_id"), (F.col("copies") > 1).alias("exact"))
     return sk.select("doc_id", "n", "s", "x").join(kept, ["n", "s", "x"]).select("doc_id", "keep_id", "exact").distinct()

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lodestone.llm.near_dup import cardinality, joint_jaccard, keep_one, near_duplicates, registers
+from lodestone.llm.near_dup import _meet, cardinality, joint_jaccard, keep_one, near_duplicates, registers
 from tests.llm.util import DOCS, awkward, prose, seeded, table, words
 
 
@@ -77,3 +77,30 @@ def test_a_bucket_of_different_documents_loses_no_pair(spark):
     pairs, _ = groups(texts)
     got = {r.doc_id: r.keep_id for r in near_duplicates(table(spark, texts), bands=64, rows=1).collect()}
     assert all(got.get(a, -1) == got.get(b, -2) for a, b in pairs)
+
+
+def test_near_copies_within_a_family_that_is_not_quite_near(spark):
+    """All share a passage (similarity 0.45), pairs share more (0.55): whoever is near a leader only by estimate must lead too."""
+    rng = seeded(8)
+    passage, texts = prose(rng, 126), []
+    for _ in range(200):
+        more = prose(rng, 18)
+        texts += [f"{passage} {more} {prose(rng, 58)}" for _ in "ab"]
+    pairs, _ = groups(texts)
+    assert len(pairs) == 200
+    got = {r.doc_id: r.keep_id for r in near_duplicates(table(spark, texts)).collect()}
+    assert sum(got.get(a, -1) == got.get(b, -2) for a, b in pairs) >= 0.92 * len(pairs)
+    assert all((k, d) in set(pairs) for d, k in got.items() if d != k)
+
+
+def test_members_of_different_leaders_meet_unless_linked():
+    """Neighbours of a chain are near: 1 and 2 are reached by the leaders 0 and 3, their own pair comes in a later round."""
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [h[i * 300 : i * 300 + 1000] for i in (0, 1, 2, 3)]
+    regs = registers(np.concatenate(sets), np.arange(5) * 1000, 1024)[[0, 3, 1, 2]]
+    a, b, left = _meet(regs, np.arange(4), 0.4, 1)
+    assert {(0, 2), (1, 3)} <= set(zip(a, b)) and set(left) == {2, 3}
+    a, b, left = _meet(regs[left], np.array([0, 1]), 0.4, 4)
+    assert list(zip(a, b)) == [(0, 1)] and not len(left)
+    assert [len(x) for x in _meet(regs, np.zeros(4, int), 0.4, 1)] == [0, 0, 0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,35 +203,56 @@ def random_rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def rabitq_search(assigned: DataFrame, centroids: DataFrame, query: list[float], k: int, oversample: int = OVERSAMPLE, seed: int = 7) -> DataFrame:
-    """k nearest by L2 from one-bit codes of rotated residuals (RaBitQ, Gao and Long 2024): the unbiased distance
-    estimate ranks oversampled candidates, exact scores decide."""
-    dim, spark = len(query), assigned.sparkSession
-    rot = random_rotation(dim, seed)
-    centers = {r["centroid"]: np.array(r["embedding"]) for r in centroids.collect()}  # nlist rows
-    shipped = spark.sparkContext.broadcast((rot, centers, np.array(query, np.float64)))
+def one_bit(rot: np.ndarray, centers: dict, q: np.ndarray, k: int):
+    """Arrow batches (vec_id, doc_num, embedding, centroid) to (vec_id, doc_num, score), the k best of the batches
+    among them: exact scores of the k best estimates set a limit, and of every vector whose lower bound is not above it.
+
+    A residual's angles to its code and of the code to the query differ by at most the residual's angle to the query."""
 
-    def estimate(batches):
-        rot, centers, q = shipped.value
+    def run(batches):
+        best = np.full(k, np.inf)
         for batch in batches:
-            rows = [i for i, v in enumerate(batch.column("embedding").to_pylist()) if v is not None and len(v) == len(q)]
-            if not rows:
+            batch = batch.filter(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(batch.column("embedding")), len(q)), False))
+            if not batch.num_rows or not k:
                 continue
-            c = np.array([centers[batch.column("centroid")[i].as_py()] for i in rows])
-            o = np.array([batch.column("embedding")[i].as_py() for i in rows], np.float64) - c
+            c = np.array([centers[x] for x in batch.column("centroid").to_pylist()])
+            o = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), len(q)) - c
             size = np.linalg.norm(o, axis=1)
             unit = o / np.maximum(size, 1e-12)[:, None] @ rot
             bits = np.where(unit > 0, 1.0, -1.0) / np.sqrt(len(q))
             align = np.maximum((bits * unit).sum(1), 1e-6)
             r = q[None] - c
             rn = np.linalg.norm(r, axis=1)
-            cosine = (bits * (r / np.maximum(rn, 1e-12)[:, None] @ rot)).sum(1) / align
-            guess = size**2 + rn**2 - 2 * size * rn * cosine
-            exact = ((o - r) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), batch.column("doc_num").take(pa.array(rows)), pa.array(guess), pa.array(exact)], names=["vec_id", "doc_num", "guess", "score"])
+            seen = (bits * (r / np.maximum(rn, 1e-12)[:, None] @ rot)).sum(1)
+            guess = size**2 + rn**2 - 2 * size * rn * seen / align
+            most = np.cos(np.arccos(np.clip(align, -1, 1)) - np.arccos(np.clip(seen, -1, 1)))
+            lower = size**2 + rn**2 - 2 * size * rn * most - 1e-6 * (size**2 + rn**2)
+            score = np.full(len(c), np.inf)
+            first = np.argpartition(guess, k - 1)[:k] if k < len(guess) else np.arange(len(guess))
+            score[first] = ((o[first] - r[first]) ** 2).sum(1)
+            limit = np.sort(np.concatenate((best, score[first])))[k - 1]
+            rest = np.setdiff1d(np.flatnonzero(~(lower > limit)), first)
+            score[rest] = ((o[rest] - r[rest]) ** 2).sum(1)
+            known = np.concatenate((first, rest))
+            best = np.sort(np.concatenate((best, score[known])))[:k]
+            kept = pa.array(known[~(score[known] > best[-1])])  # ties come along, vec_id decides later
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(kept), batch.column("doc_num").take(kept), pa.array(score[kept.to_numpy()])], names=["vec_id", "doc_num", "score"])
+
+    return run
+
+
+def rabitq_search(assigned: DataFrame, centroids: DataFrame, query: list[float], k: int, seed: int = 7) -> DataFrame:
+    """k nearest by L2 from one-bit codes of rotated residuals (RaBitQ, Gao and Long 2024): the unbiased estimate tells
+    which exact scores come first, a bound that always holds which others are needed. The rows are those of exact search."""
+    rot = random_rotation(len(query), seed)
+    centers = {r["centroid"]: np.array(r["embedding"]) for r in centroids.collect()}  # nlist rows
+    shipped = assigned.sparkSession.sparkContext.broadcast((rot, centers, np.array(query, np.float64)))
+
+    def search(batches):
+        yield from one_bit(*shipped.value, k)(batches)
 
-    got = assigned.select(F.col("vec_id").cast("long"), F.col("doc_num").cast("long"), "embedding", "centroid").mapInArrow(estimate, "vec_id long, doc_num long, guess double, score double")
-    return got.orderBy("guess", "vec_id").limit(oversample * k).drop("guess").orderBy("score", "vec_id").limit(k)
+    got = assigned.select(F.col("vec_id").cast("long"), F.col("doc_num").cast("long"), "embedding", "centroid").mapInArrow(search, "vec_id long, doc_num long, score double")
+    return got.orderBy("score", "vec_id").limit(k)
 
 
 def stats(vectors: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """What the queries over the driver's tables don't reach: sizing rules, awkward rows, approximate search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
 from lodestone.operators import sections, terms, vectors
+from lodestone.plans import queries
 from lodestone.sources.mapping import FieldSpec, Mapping
 from lodestone.sources.segment import build_segment
 
@@ -92,3 +94,19 @@ def test_other_dimensions_and_null_vectors_have_no_hits(cloud, spark):
     assert vectors.scored(df, []).count() == 0 and vectors.scored(df, [1.0]).count() == 0
     odd = spark.createDataFrame([(1, 1, None), (2, 2, [1.0])], "vec_id long, doc_num long, embedding array<float>")
     assert vectors.scored(odd, [1.0]).count() == 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_one_bit_search_is_exact_for_every_row_of_the_embeddings(spark, sf):
+    assigned, c = queries._clustered(spark, f"/root/testdata/{sf}")
+    rows = assigned.select("vec_id", "doc_num", "embedding", "centroid").toArrow()
+    centers = {r.centroid: np.array(r.embedding) for r in c.collect()}
+    x, ids = np.array(rows["embedding"].to_pylist(), np.float64), rows["vec_id"].to_numpy()
+    rot = vectors.random_rotation(x.shape[1])
+    for q in x:
+        found = pa.Table.from_batches(vectors.one_bit(rot, centers, q, 10)(rows.to_batches(max_chunksize=700)))
+        order = np.lexsort((found["vec_id"], np.round(found["score"], 9)))[:10]
+        best = np.lexsort((ids, np.round(((x - q) ** 2).sum(1), 9)))[:10]
+        assert found["vec_id"].to_numpy()[order].tolist() == ids[best].tolist()
+    got = [r.vec_id for r in vectors.rabitq_search(assigned, c, x[7].tolist(), 10).collect()]
+    assert got == ids[np.lexsort((ids, np.round(((x - x[7]) ** 2).sum(1), 9)))[:10]].tolist()

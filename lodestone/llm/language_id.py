@@ -166,17 +166,23 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     return {"langs": langs, "idf": idf, "weights": weights, "temperature": temperature(logits, truth), "held_out": float((logits.argmax(1) == truth).mean()) if len(held) else None}
 
 
+def _predict(m, column):
+    """Class (the number of languages, if undetermined) and confidence of each lower-cased text."""
+    best, sure = np.full(len(column), len(m["langs"])), np.zeros(len(column))
+    for a, _b, data, offsets in parts(column):
+        for i, (where, counts) in enumerate(features(*letters(data, offsets))):
+            if len(where) and m["langs"]:
+                p = softmax((tfidf(where, counts, m["idf"]) @ m["weights"][where] / m["temperature"])[None])[0]
+                best[a + i], sure[a + i] = p.argmax(), p.max()
+    return best, sure
+
+
 def _classify(model):
     def run(batches):
         m = model.value
         names = np.array([*m["langs"], UNDETERMINED], object)
         for batch in batches:
-            best, sure = np.full(batch.num_rows, len(m["langs"])), np.zeros(batch.num_rows)
-            for a, _b, data, offsets in parts(batch.column("text")):
-                for i, (where, counts) in enumerate(features(*letters(data, offsets))):
-                    if len(where) and m["langs"]:
-                        p = softmax((tfidf(where, counts, m["idf"]) @ m["weights"][where] / m["temperature"])[None])[0]
-                        best[a + i], sure[a + i] = p.argmax(), p.max()
+            best, sure = _predict(m, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "confidence"])
 
     return run
@@ -196,3 +202,18 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_confidence: floa
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, whatever the corpus
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered().alias("text")).mapInArrow(_classify(shipped), "doc_id long, lang_pred string, confidence double")
     return got.withColumn("accepted", (F.col("confidence") >= min_confidence) & (F.col("lang_pred") != UNDETERMINED))
+
+
+def keep_accepted(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, model: dict | None = None) -> DataFrame:
+    """The rows of ``docs``, whole, that :func:`identify` accepts: each by its own text, whatever its id."""
+    model = train(docs) if model is None else model
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shipped.value
+        told = np.array([*(x != UNDETERMINED for x in m["langs"]), False])
+        for batch in batches:
+            best, sure = _predict(m, batch.column(batch.num_columns - 1))
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array((sure >= min_confidence) & told[best]))
+
+    return docs.select("*", lowered().alias("_lowered")).mapInArrow(run, docs.schema)

@@ -60,3 +60,12 @@ def test_stages_follow_their_brute_force_versions(spark, folder):
     expected = sorted(con.execute(mix_sql()).fetchall())
     assert sorted(tuple(r) for r in stages[4](spark, now, out).collect()) == expected
     assert sorted(tuple(r) for r in pipeline.run(spark, out).collect()) == expected
+
+
+def test_language_stage_decides_row_by_row(spark, folder):
+    """A clean row without an id stays, and a row without letters goes though an accepted one has its id."""
+    rng = seeded(3)
+    kept = [(i, prose(rng, 30), "en", "s", 1) for i in range(6)] + [(None, prose(rng, 30), "en", "s", 1)]
+    docs = spark.createDataFrame([*kept, (2, "12 34 !!", "en", "s", 1), (2, None, "en", "s", 1), (None, "...", "en", "s", 1)], test_near_dup.DOCS)
+    got = pipeline.STAGES[0][1](spark, docs, folder[0])
+    assert got.schema == docs.schema and sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect()[: len(kept)])

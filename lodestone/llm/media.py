@@ -117,18 +117,24 @@ def fingerprint(media: DataFrame, id_col: str = "clip_id", wav_col: str = "wav")
     return media.select(F.col(id_col).cast("long").alias("clip_id"), F.col(wav_col).alias("wav")).mapInArrow(_fingerprint, SCHEMA)
 
 
-def _render(batches):
+def _partials(n):
+    """A tone for each of n components, 50 Hz apart or as close as fits below half the sample rate."""
     t = np.arange(RATE, dtype=np.float32) / RATE
-    partials = np.sin(2 * np.pi * (100 + 50 * np.arange(64, dtype=np.float32))[:, None] * t)
-    slots = np.arange(RATE) * 16 // RATE  # every sixteenth of a second other four partials sound
-    gates = (np.arange(64)[:, None] % 16 == slots).astype(np.float32)
-    partials *= gates
+    partials = np.sin(2 * np.pi * (100 + min(50, (RATE / 2 - 200) / n) * np.arange(n, dtype=np.float32))[:, None] * t)
+    slots = np.arange(RATE) * 16 // RATE  # every sixteenth of a second another sixteenth of the partials sounds
+    partials *= (np.arange(n)[:, None] % 16 == slots).astype(np.float32)
+    return partials
+
+
+def _render(batches):
+    partials = _partials(64)
     for batch in batches:
-        vectors = batch.column("embedding").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("clip_id"), pa.array([None if v is None else write_wav(np.asarray([0 if y is None else y for y in v][:64] + [0] * max(0, 64 - len(v)), np.float32) @ partials) for v in vectors], pa.binary())],
-            names=["clip_id", "wav"],
-        )
+        vectors, wavs = batch.column("embedding").to_pylist(), []
+        for v in vectors:
+            if v is not None and max(64, len(v)) != len(partials):
+                partials = _partials(max(64, len(v)))
+            wavs.append(None if v is None else write_wav(np.asarray([0 if y is None else y for y in v] + [0] * (len(partials) - len(v)), np.float32) @ partials))
+        yield pa.RecordBatch.from_arrays([batch.column("clip_id"), pa.array(wavs, pa.binary())], names=["clip_id", "wav"])
 
 
 def clips(embeddings: DataFrame) -> DataFrame:

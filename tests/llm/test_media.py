@@ -78,3 +78,9 @@ def test_clips_of_a_vector_table(spark):
     e = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, [0.5, None]), (4, [])], "vec_id long, embedding array<float>")
     got = {r.clip_id: r for r in fingerprint(clips(e)).collect()}
     assert got[1].status == got[3].status == "ok" and got[2].status == "null" and got[1].n_frames == 31
+
+
+def test_every_component_of_a_long_vector_sounds(spark):
+    rows = [(0, [0.1] * 70), (1, [0.1] * 66 + [0.3] + [0.1] * 3), (2, [0.1] * 69 + [-0.2]), (3, [0.1] * 64), (4, [0.1] * 64 + [0.0] * 6), (5, [0.1] * 300), (6, [0.1] * 299 + [0.4])]
+    got = {r.clip_id: bytes(r.wav) for r in clips(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len({got[i] for i in (0, 1, 2)}) == 3 and got[3] == got[4] and got[5] != got[6]

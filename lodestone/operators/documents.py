@@ -31,7 +31,8 @@ def doc_id(segment: Segment, docs: DataFrame | list[int]) -> DataFrame:
 
 
 def doc_values(segment: Segment, fields: list[str], docs: DataFrame | list[int] | None = None) -> DataFrame:
-    """(doc_num, field, term) of listed fields in dictionary order; unknown fields are skipped; extras are last."""
+    """(doc_num, field, term) of listed fields in dictionary order; unknown fields are skipped. Extra values
+    (encoded shapes, SURVEY A9) are left out: no mapping fills them."""
     v = segment.doc_values.filter(F.col("field").isin(fields))
     if docs is not None:
         v = v.filter(F.col("doc_num").isin(docs)) if isinstance(docs, list) else v.join(docs.select("doc_num").distinct(), "doc_num", "left_semi")

@@ -7,6 +7,7 @@ a few nanoseconds a byte and no Python object per word.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ CHUNK_BYTES = 1 << 18  # of text handled at once, so that temporaries stay in ca
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one is set only where none is (tests)."""
+    """The shared folder that the cluster names; a local one is set only where none is and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-ckpt-")
@@ -178,9 +181,9 @@ def winnow(hashes: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
         np.add.at(ok, first[1:][long] - w + 1, -1)
         starts = np.flatnonzero(np.cumsum(ok[:-1])[: n - w + 1])
         chosen[(low - (sliding_min(key, w)[starts] & low)).astype(np.int64)] = True
-    short = np.flatnonzero((sizes > 0) & (sizes < w))
-    if len(short):
-        least = np.minimum.reduceat(key, np.minimum(first[:-1], n - 1))[short]
+    short = (sizes > 0) & (sizes < w)
+    if short.any():
+        least = nonempty_reduce(np.minimum, key, first, 0)[short]
         chosen[(low - (least & low)).astype(np.int64)] = True
     return np.flatnonzero(chosen)
 

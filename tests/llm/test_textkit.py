@@ -39,6 +39,11 @@ def test_sliding_min(x, w):
         assert sliding_min(np.array(x), w).tolist() == [min(x[i : i + w]) for i in range(len(x) - w + 1)]
 
 
+def test_winnow_with_empty_documents_at_the_end():
+    x = np.full(2, 7 << 40, np.uint64)
+    assert winnow(x, np.array([0, 2, 2]), 3).tolist() == [1] and winnow(x, np.array([0, 0, 2, 2, 2]), 3).tolist() == [1]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=25), min_size=1, max_size=5), st.integers(1, 6))
 def test_winnow_keeps_the_rightmost_minimum_of_each_window(docs, w):

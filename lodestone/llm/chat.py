@@ -38,13 +38,28 @@ def encoder(ranks_path: str = RANKS):
     return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {s: first + i for i, s in enumerate(SPECIAL)}
 
 
+#: Runs of what the pattern calls blank that its backtracking should not see.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+SEAM = re.compile(r"(?<=[^\s]) (?=[^\s])")
+
+
 def encode(enc, text: str, step: int = 1 << 16) -> list[int]:
-    """Ordinary encoding; a very long text is cut before blanks that follow a non-blank, where the pattern cuts as well."""
+    """Ordinary encoding of texts of any length and kind. A long text is cut only where the pattern cuts as well: before
+    single blanks, and around a long run of blanks, which but for its last one (if more follows) is a piece of its own."""
     if len(text) <= step:
         return enc.encode_ordinary(text)
     out, at = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += _in_steps(enc, text[at : run.start()], step) + enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + _in_steps(enc, text[at:], step)
+
+
+def _in_steps(enc, text: str, step: int) -> list[int]:
+    out, at = [], 0
     while at < len(text):
-        cut = re.compile(r"(?<=[^\s]) (?=[^\s])").search(text, at + step)
+        cut = SEAM.search(text, at + step)
         end = cut.start() if cut else len(text)
         out += enc.encode_ordinary(text[at:end])
         at = end
@@ -57,7 +72,7 @@ def assemble(enc, reserved, turns):
     Content and the closing mark of the trained role count for the loss (mask 1)."""
     segments, trained = [], []
     for role, text in turns:
-        segments += [[reserved["<|start|>"]], enc.encode_ordinary(escape(role)), [reserved["<|message|>"]], encode(enc, escape(text)), [reserved["<|end|>"]]]
+        segments += [[reserved["<|start|>"]], encode(enc, escape(role)), [reserved["<|message|>"]], encode(enc, escape(text)), [reserved["<|end|>"]]]
         trained += [0, 0, 0, *([role == TRAINED_ROLE] * 2)]
     segments.append([reserved["<|endoftext|>"]])
     trained.append(0)
@@ -113,7 +128,7 @@ def format_chat(conversations: DataFrame, ranks_path: str = RANKS) -> DataFrame:
 
     Turns are in the order of ``turn``, ties by role and text; an identical repeated row counts once. Control strings
     in content or roles are escaped reversibly and encoded as ordinary text, so reserved ids come from the template
-    only. A null or empty text is an empty turn, a null role the role "". A null turn comes first. Rows without
+    only. Texts may be of any length, runs of one character too. A null or empty text is an empty turn, a null role the role "". A null turn comes first. Rows without
     conv_id are dropped. Extra columns are ignored. An empty table gives no rows. Conversations are held whole in a
     task, as their ids are in the result.
     """

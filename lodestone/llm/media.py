@@ -14,13 +14,15 @@ WINDOW, HOP, RATE = 512, 256, 8000
 TIME_REACH, BIN_REACH = 3, 12  # half sizes of the neighbourhood in which a peak is the largest
 NEAR, FAR, FAN_BINS = 1, 16, 96  # a pair's second peak follows within these frames and bins
 FLOOR_DB = -60.0
+BLOCK, ROWS = 4096, 256  # frames in memory at once; clips to a batch of results
 SCHEMA = "clip_id long, status string, sample_rate int, channels int, n_frames int, prints array<long>"
 
 
-def read_wav(blob: bytes) -> tuple[np.ndarray, int, int]:
-    """Mono samples in [-1, 1], rate and channels of PCM of 8, 16, 24 or 32 bits."""
-    with wave.open(io.BytesIO(blob)) as w:
-        channels, width, rate, raw = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
+def _samples(w: wave.Wave_read, start: int, n: int) -> np.ndarray:
+    """Mono samples in [-1, 1] from ``start`` on; fewer at the end."""
+    channels, width = w.getnchannels(), w.getsampwidth()
+    w.setpos(start)
+    raw = w.readframes(n)
     raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
@@ -31,7 +33,24 @@ def read_wav(blob: bytes) -> tuple[np.ndarray, int, int]:
         x = (((b[:, 0] << 8) | (b[:, 1] << 16) | (b[:, 2] << 24)) >> 8).astype(np.float32) / 2**23
     else:
         x = np.frombuffer(raw, "<i4").astype(np.float32) / 2**31
-    return x.reshape(-1, channels).mean(1), rate, channels
+    return x.reshape(-1, channels).mean(1)
+
+
+def open_wav(blob: bytes) -> tuple[wave.Wave_read, int]:
+    """Reader of PCM of 8, 16, 24 or 32 bits, and the samples that are there, whatever the header says."""
+    w = wave.open(io.BytesIO(blob))
+    if w.getsampwidth() not in (1, 2, 3, 4):
+        raise wave.Error(f"samples of {w.getsampwidth()} bytes")
+    there, size = 0, w.getnchannels() * w.getsampwidth()
+    while got := len(w.readframes(1 << 18)) // size:
+        there += got
+    return w, min(there, w.getnframes())
+
+
+def read_wav(blob: bytes) -> tuple[np.ndarray, int, int]:
+    """All mono samples, rate and channels."""
+    w, n = open_wav(blob)
+    return _samples(w, 0, n), w.getframerate(), w.getnchannels()
 
 
 def write_wav(x: np.ndarray, rate: int = RATE) -> bytes:
@@ -70,10 +89,9 @@ def peaks(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((s == _highest(_highest(s, TIME_REACH, 0), BIN_REACH, 1)) & (s > FLOOR_DB))
 
 
-def prints(s: np.ndarray) -> np.ndarray:
+def paired(t: np.ndarray, f: np.ndarray) -> np.ndarray:
     """A 64-bit value for each pair of peaks: frame of the first << 32 | its bin << 20 | the other's bin << 8 | frames
     between. The low 32 bits identify the sound, the high ones tell when it was heard."""
-    t, f = peaks(s)
     out = []
     for step in range(1, len(t)):
         dt, df = t[step:] - t[:-step], np.abs(f[step:] - f[:-step])
@@ -85,34 +103,64 @@ def prints(s: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def prints(s: np.ndarray) -> np.ndarray:
+    return paired(*peaks(s))
+
+
+def wav_prints(w: wave.Wave_read, n: int, block: int = BLOCK) -> tuple[int, np.ndarray]:
+    """Frames and fingerprints of ``n`` samples, a block of frames at a time: neighbouring blocks overlap by the reach of
+    a peak, so the blocks don't show in the result, and memory holds one block and the peaks."""
+    frames = max(1, -(-max(0, n - WINDOW) // HOP) + 1)
+    times, bins = [], []
+    for lo in range(0, frames, block):
+        hi = min(frames, lo + block)
+        a, b = max(0, lo - TIME_REACH), min(frames, hi + TIME_REACH)
+        s = spectrogram(_samples(w, a * HOP, min(n, (b - 1) * HOP + WINDOW) - a * HOP))[: b - a]
+        t, f = peaks(s)
+        own = (t + a >= lo) & (t + a < hi)
+        times.append(t[own] + a)
+        bins.append(f[own])
+    return frames, paired(np.concatenate(times), np.concatenate(bins))
+
+
 def _fingerprint(batches):
     for batch in batches:
-        status, rate, channels, n, codes = [], [], [], [], []
-        for blob in batch.column("wav"):
+        for start in range(0, batch.num_rows, ROWS):
+            yield _rows(batch.slice(start, ROWS))
+
+
+def _rows(batch):
+    status, rate, channels, n, codes = [], [], [], [], []
+    for blob in batch.column("wav"):
+        told, r, c, frames, own = "null", None, None, 0, np.zeros(0, np.int64)
+        if blob.is_valid:
             try:
-                x, r, c = (None, None, None) if not blob.is_valid else read_wav(blob.as_py())
-                s = None if x is None or not len(x) else spectrogram(x)
-                status.append("null" if x is None else "ok" if s is not None else "empty")
+                w, samples = open_wav(blob.as_py())
+                told, r, c = ("ok" if samples else "empty"), w.getframerate(), w.getnchannels()
+                if samples:
+                    frames, own = wav_prints(w, samples)
             except (wave.Error, EOFError, ValueError, ZeroDivisionError):
-                x, r, c, s = None, None, None, None
-                status.append("bad")
-            rate.append(r)
-            channels.append(c)
-            n.append(0 if s is None else len(s))
-            codes.append(np.zeros(0, np.int64) if s is None else prints(s))
-        bounds = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("clip_id"), pa.array(status, pa.string()), pa.array(rate, pa.int32()), pa.array(channels, pa.int32()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int64)))],
-            names=["clip_id", "status", "sample_rate", "channels", "n_frames", "prints"],
-        )
+                told, r, c = "bad", None, None
+        status.append(told)
+        rate.append(r)
+        channels.append(c)
+        n.append(frames)
+        codes.append(own)
+    bounds = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("clip_id"), pa.array(status, pa.string()), pa.array(rate, pa.int32()), pa.array(channels, pa.int32()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int64)))],
+        names=["clip_id", "status", "sample_rate", "channels", "n_frames", "prints"],
+    )
 
 
 def fingerprint(media: DataFrame, id_col: str = "clip_id", wav_col: str = "wav") -> DataFrame:
     """(clip_id, status, sample_rate, channels, n_frames, prints) for each row with a WAV column.
 
-    ``prints`` is sorted (see :func:`prints`). Status "null" for a null column, "bad" for bytes that are no PCM WAV,
-    "empty" for one without samples: those have no prints. Equal clips have equal prints. Repeated rows give a row
-    each, a null id stays null, extra columns are ignored, an empty table gives no rows. Clips may be of any length.
+    ``prints`` is sorted (see :func:`paired`). Status "null" for a null column, "bad" for bytes that are no PCM WAV of 8
+    to 32 bits, "empty" for one without samples: those have no prints. A clip shorter than its header says counts as
+    far as it goes. Equal clips have equal prints. Repeated rows give a row
+    each, a null id stays null, extra columns are ignored, an empty table gives no rows. Clips may be of any length:
+    beside the column's bytes, a task holds one block of frames and the peaks.
     """
     return media.select(F.col(id_col).cast("long").alias("clip_id"), F.col(wav_col).alias("wav")).mapInArrow(_fingerprint, SCHEMA)
 

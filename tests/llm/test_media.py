@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestone.llm.media import BIN_REACH, FAN_BINS, FAR, FLOOR_DB, NEAR, TIME_REACH, clips, fingerprint, peaks, prints, read_wav, spectrogram, write_wav
+from lodestone.llm.media import BIN_REACH, FAN_BINS, FAR, FLOOR_DB, NEAR, TIME_REACH, clips, fingerprint, open_wav, peaks, prints, read_wav, spectrogram, wav_prints, write_wav
 
 
 def tune(seed, seconds=2, rate=8000, decay=0):
@@ -45,6 +45,26 @@ def test_peaks_and_pairs_against_brute_force():
     assert prints(s).tolist() == pairs and len(pairs) > 50
 
 
+@pytest.mark.parametrize("samples", [3, 512, 513, 8000, 25_999])
+def test_blocks_do_not_show(samples):
+    blob = write_wav(tune(7, 4, decay=4)[:samples])
+    s = spectrogram(read_wav(blob)[0])
+    for block in (1, 5, 16, 4096):
+        n, got = wav_prints(*open_wav(blob), block)
+        assert n == len(s) and got.tolist() == prints(s).tolist()
+
+
+def test_samples_of_64_bits_are_bad(spark):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(b"\0" * 64)
+    blob = bytearray(out.getvalue())
+    blob[34:36] = (64).to_bytes(2, "little")
+    rows = [(1, bytes(blob)), (2, write_wav(tune(4)) [: 44 + 700])]
+    got = {r.clip_id: r for r in fingerprint(spark.createDataFrame(rows, "clip_id long, wav binary")).collect()}
+    assert got[1].status == "bad" and got[2].status == "ok" and got[2].n_frames == 1
+
+
 def shifts(a, b):
     """How often each shift in time is seen among pairs of equal prints."""
     known = defaultdict(list)

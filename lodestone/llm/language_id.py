@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.textkit import checkpoint_dir, cut, lowered, parts
+from lodestone.llm.textkit import checkpoint_dir, cut, fresh, lowered, parts
 
 BITS, ORDERS = 15, (1, 2, 3)
 TRAIN_ROWS = 2400  # bound on the labelled rows that the classifier is fitted on, over all languages
@@ -26,29 +26,29 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def features(codes: np.ndarray, bounds: np.ndarray):
-    """(bucket indices, counts) of the n-grams of each document; n-grams that end in a blank pair are left out."""
+    """n-grams of each document by one sort of a chunk: (bounds of the documents among them, hash buckets, counts).
+    n-grams never span documents; one without letters has none."""
     factors = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
-    n, hashed = len(codes), []
+    n, n_docs = len(codes), len(bounds) - 1
+    wide = np.uint32 if n_docs < 1 << (32 - BITS) else np.uint64
+    owner = np.repeat(np.arange(n_docs, dtype=wide), np.diff(bounds))
+    lettered = np.zeros(n_docs, bool)
+    lettered[owner[codes != 32]] = True
+    keys = [np.zeros(0, wide)]
     for k in ORDERS:
         if n < k:
-            hashed.append(np.zeros(0, np.uint32))
             continue
         h = np.full(n - k + 1, k * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
         for j in range(k):
             h = (h ^ codes[j : j + n - k + 1]) * factors[j]
             h ^= h >> np.uint32(15)
-        hashed.append((h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS))
-    for d in range(len(bounds) - 1):
-        lo, hi = bounds[d], bounds[d + 1]
-        if not (codes[lo:hi] != 32).any():
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64)
-            continue
-        counts = np.zeros(1 << BITS, np.int64)
-        for k, h in zip(ORDERS, hashed):
-            if hi - lo >= k:
-                counts += np.bincount(h[lo : hi - k + 1], minlength=1 << BITS)
-        where = np.flatnonzero(counts)
-        yield where, counts[where]
+        bucket = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+        whole = (owner[: n - k + 1] == owner[k - 1 :]) & lettered[owner[: n - k + 1]]
+        keys.append(((owner[: n - k + 1] << wide(BITS)) | bucket)[whole])
+    keys = np.sort(np.concatenate(keys))
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    counts, keys = np.diff(np.append(new, len(keys))), keys[new]
+    return np.searchsorted(keys >> wide(BITS), np.arange(n_docs + 1)), (keys & wide((1 << BITS) - 1)).astype(np.int64), counts
 
 
 def tfidf(where, counts, idf):
@@ -60,17 +60,18 @@ def _survey(batches):
     """Per task: the document frequencies of all its documents; and the features of the sampled ones."""
     df, n = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
-        pick, lang, rank = batch.column("pick").to_pylist(), batch.column("lang").to_pylist(), batch.column("rank").to_pylist()
+        pick, lang, rank = np.asarray(batch.column("pick")), batch.column("lang"), batch.column("rank")
         kinds, langs, ranks, payloads = [], [], [], []
-        for a, _b, data, offsets in parts(batch.column("text")):
-            for i, (where, counts) in enumerate(features(*letters(data, offsets))):
-                df[where] += 1
-                n += len(where) > 0
-                if pick[a + i] and len(where):
-                    langs.append(lang[a + i])
-                    ranks.append(rank[a + i])
-                    kinds.append(1)
-                    payloads.append(np.concatenate((where, counts)).astype(np.int32).tobytes())
+        for a, b, data, offsets in parts(batch.column("text")):
+            first, where, counts = features(*letters(data, offsets))
+            df += np.bincount(where, minlength=1 << BITS)
+            some = np.diff(first) > 0
+            n += int(some.sum())
+            for i in np.flatnonzero(some & pick[a:b]).tolist():
+                langs.append(lang[a + i].as_py())
+                ranks.append(rank[a + i].as_py())
+                kinds.append(1)
+                payloads.append(np.concatenate((where[first[i] : first[i + 1]], counts[first[i] : first[i + 1]])).astype(np.int32).tobytes())
         if kinds:
             yield _rows(kinds, langs, ranks, payloads)
     yield _rows([0], [None], [n], [df.tobytes()])
@@ -138,22 +139,25 @@ def temperature(logits, labels) -> float:
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     """Document frequencies of all documents; weights from a hash sample of at most ``train_rows`` labelled rows,
-    shared evenly by the languages; temperature from the fifth of the sample that the weights never saw."""
+    shared evenly by the languages (of more languages than that, the most frequent count); temperature from the fifth
+    of the sample that the weights never saw. Ids play no part: null and repeated ones are sampled like others."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    labelled = {r["lang"]: r["count"] for r in docs.filter("lang is not null and text is not null").groupBy("lang").count().collect()}
+    counted = docs.filter("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_rows)
+    labelled = {r["lang"]: r["count"] for r in counted.collect()}
     langs = sorted(labelled)
     if not langs:
         return {"langs": [], "idf": np.zeros(1 << BITS, np.float32), "weights": np.zeros((1 << BITS, 0), np.float32), "temperature": 1.0, "held_out": None}
-    each = max(5, train_rows // len(langs))
+    each = max(1, train_rows // len(langs))
     rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, (1.2 * each + 20) / labelled[lang]))])
-    rank = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1))
+    rank = F.xxhash64("doc_id", "text", F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1))
     marked = docs.select("lang", rank.alias("rank"), lowered().alias("text"), F.coalesce(F.col("lang").isNotNull() & (rank < F.element_at(rate, F.col("lang")) * (1 << 40)), F.lit(False)).alias("pick"))
     seen = cut(marked.mapInArrow(_survey, "kind int, lang string, rank long, payload binary"))
     total = seen.filter("kind = 0").repartition(16).mapInArrow(_added, seen.schema).coalesce(1).mapInArrow(_added, seen.schema).first()
     idf = (np.log((1 + total["rank"]) / (1 + np.frombuffer(total["payload"], np.int64))) + 1).astype(np.float32)
-    sample = seen.filter("kind = 1").select("lang", "rank", "payload").collect()
-    by_lang = {lang: sorted((r["rank"], bytes(r["payload"])) for r in sample if r["lang"] == lang)[:each] for lang in langs}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "payload"))
+    sample = seen.filter("kind = 1").select("lang", "rank", "payload").withColumn("place", place).filter(F.col("place") <= each).collect()
+    by_lang = {lang: sorted((r["rank"], bytes(r["payload"])) for r in sample if r["lang"] == lang) for lang in langs}
     fit, held = [], []
     for c, lang in enumerate(langs):
         for i, (_, payload) in enumerate(by_lang[lang]):
@@ -170,10 +174,15 @@ def _predict(m, column):
     """Class (the number of languages, if undetermined) and confidence of each lower-cased text."""
     best, sure = np.full(len(column), len(m["langs"])), np.zeros(len(column))
     for a, _b, data, offsets in parts(column):
-        for i, (where, counts) in enumerate(features(*letters(data, offsets))):
-            if len(where) and m["langs"]:
-                p = softmax((tfidf(where, counts, m["idf"]) @ m["weights"][where] / m["temperature"])[None])[0]
-                best[a + i], sure[a + i] = p.argmax(), p.max()
+        first, where, counts = features(*letters(data, offsets))
+        full = np.flatnonzero(np.diff(first) > 0)
+        if not len(full) or not m["langs"]:
+            continue
+        x, at = (1 + np.log(counts)) * m["idf"][where], first[:-1][full]
+        size = np.sqrt(np.add.reduceat(x * x, at))
+        logits = np.stack([np.add.reduceat(x * m["weights"][where, c], at) for c in range(len(m["langs"]))], 1)
+        p = softmax(logits / size[:, None] / m["temperature"])
+        best[a + full], sure[a + full] = p.argmax(1), p.max(1)
     return best, sure
 
 
@@ -216,4 +225,4 @@ def keep_accepted(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, model
             best, sure = _predict(m, batch.column(batch.num_columns - 1))
             yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array((sure >= min_confidence) & told[best]))
 
-    return docs.select("*", lowered().alias("_lowered")).mapInArrow(run, docs.schema)
+    return docs.select("*", lowered().alias(fresh(docs, "_lowered"))).mapInArrow(run, docs.schema)

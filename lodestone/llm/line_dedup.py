@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.textkit import cut, fresh
 
+BROADCAST_BYTES = 32 << 20
 SCHEMA = "doc_id long, n_lines long, n_kept long, keep binary"
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line as 128 bits of hash; blank lines have none. (doc_id, pos, h1, h2)"""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    line = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
-    return d.select("doc_id", "pos", line.alias("line")).select(
-        "doc_id", "pos", F.when(F.col("line") != "", F.xxhash64("line")).alias("h1"), F.when(F.col("line") != "", F.xxhash64(F.lit("second"), F.col("line"))).alias("h2")
-    )
+    """Lines with anything in them as 128 bits of hash, and the first one of each text: (doc_id, pos, h1, h2, n_lines).
+    A blank line has no hash; n_lines is given with position 0."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col), "\n", -1).alias("parts"))
+    each = d.select("doc_id", F.size("parts").cast("long").alias("n"), F.posexplode("parts").alias("pos", "line")).select("doc_id", "n", "pos", F.btrim("line", F.lit(" \t\r")).alias("line"))
+    some = F.col("line") != ""
+    hashed = each.select("doc_id", "pos", F.when(some, F.xxhash64("line")).alias("h1"), F.when(some, F.xxhash64(F.lit("second"), F.col("line"))).alias("h2"), F.when(F.col("pos") == 0, F.col("n")).alias("n_lines"))
+    return hashed.filter("h1 is not null or pos = 0")
 
 
 def _first_occurrences(batches):
@@ -115,9 +117,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one document: equal lines at the same position count once, the number of lines is the largest.
     Extra columns are ignored.
     """
-    every = lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    every = cut(lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))  # the text is read and split once
     streamed = cut(
         every.filter("h1 is not null")
+        .drop("n_lines")
         .repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc_id"), F.col("pos"))
         .sortWithinPartitions("h1", "h2", "doc_id", "pos")
         .mapInArrow(_first_occurrences, "doc_id long, pos int, h1 long, h2 long, keep boolean, edge boolean")
@@ -125,7 +128,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))
     edges = streamed.filter("edge and keep").withColumn("first", F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("h1", "h2")))
     dropped = streamed.filter("not keep").select("doc_id", "pos").unionByName(edges.filter(later).select("doc_id", "pos"))
-    counts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.size(F.split(F.col(text_col), "\n", -1))).cast("long").alias("n_lines"))
+    counts = every.filter("pos = 0").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
     per_doc = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
     return counts.join(per_doc, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")).mapInArrow(_bitmaps, SCHEMA)
 
@@ -143,12 +146,14 @@ def _apply(text_at, keep_name):
 def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Documents with only their kept lines; one that lost lines and has nothing but blanks left goes.
 
-    ``n_chars`` follows the new text. Documents that lost nothing pass unchanged, those without an id among them. Extra
-    columns are kept, whatever their names.
+    ``n_chars`` follows the new text. Documents that lost nothing pass unchanged, those without an id or a text among
+    them. Rows that share an id lose the same positions. Extra columns are kept, whatever their names. The bitmaps of
+    changed documents are measured: up to ``BROADCAST_BYTES`` they are broadcast, beyond that the join shuffles.
     """
     keep, doc, touched = (fresh(docs, n) for n in ("_keep", "_doc", "_touched"))
-    changed = bitmaps.filter("n_kept < n_lines").select(F.col("doc_id").alias(doc), F.col("keep").alias(keep))
-    joined = docs.join(changed, docs["doc_id"] == changed[doc], "left").drop(doc)
+    changed = cut(bitmaps.filter("n_kept < n_lines").select(F.col("doc_id").alias(doc), F.col("keep").alias(keep)))
+    size = changed.agg(F.sum(F.octet_length(keep) + 48)).first()[0] or 0
+    joined = docs.join(F.broadcast(changed) if size <= BROADCAST_BYTES else changed, docs["doc_id"] == changed[doc], "left").drop(doc)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{touched}` boolean"
     out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(keep).isNotNull().alias(touched), keep).mapInArrow(_apply(docs.columns.index("text"), keep), fields)
     out = out.filter(~F.col(touched) | F.col("text").rlike(r"\S"))

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.textkit import Hasher, cut, grams, lowered, mixed, multipliers, nonempty_reduce, parts, runs, signed, word_bytes
+from lodestone.llm.textkit import Hasher, cut, fresh, grams, lowered, mixed, multipliers, nonempty_reduce, parts, runs, signed, word_bytes
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MARGIN = 3, 32, 4, 0.5, 0.1
 BASE, RATE, TOP = 1.001, 20.0, 65535
-MEMBERS_A_TASK, WANTED = 4096, 1 << 18
+MEMBERS_A_TASK, MEMBERS_A_BUCKET, WANTED, GONE = 4096, 1 << 16, 1 << 18, 1 << 20
 
 
 def shingles(data, offsets, hasher, inside, k=SHINGLE):
@@ -84,7 +84,7 @@ def joint_jaccard(a, b):
 def _sketch(batches):
     hasher, inside = Hasher(), word_bytes()
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, keys = batch.column("doc_id"), batch.column("key")
         for a, b, data, offsets in parts(batch.column("text")):
             h, bounds = shingles(data, offsets, hasher, inside)
             some = np.diff(bounds) > 0
@@ -92,8 +92,8 @@ def _sketch(batches):
             other = nonempty_reduce(np.bitwise_xor, mixed(h + np.uint64(1)), bounds, 0)
             regs = registers(h, bounds)
             out = pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(signed(total)), pa.array(signed(other)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(regs.shape[1] * 2), b - a, [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())],
-                names=["doc_id", "n", "s", "x", "regs"],
+                [keys.slice(a, b - a), ids.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(signed(total)), pa.array(signed(other)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(regs.shape[1] * 2), b - a, [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())],
+                names=["key", "doc_id", "n", "s", "x", "regs"],
             )
             yield out.filter(pa.array(some))
 
@@ -124,42 +124,52 @@ def _bands(bands, rows):
     return run
 
 
-def _buckets(batches):
-    """Sorted (key, doc_id) to buckets of at least two: (key, n, sign, members); equal member sets get an equal sign."""
-    held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _buckets(most):
+    """Sorted (key, doc_id) to buckets of at least two: (key, part, n, sign, members); equal member sets get an equal
+    sign. A bucket of more than ``most`` members comes in parts, so that no row or task holds a hot one whole."""
 
-    def groups(key, doc):
+    def pack(key, part, doc, at):
+        marks = mixed(doc.view(np.uint64))
+        sign = np.add.reduceat(marks, at[:-1]) ^ mixed(np.bitwise_xor.reduceat(marks, at[:-1]))
+        members = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(doc))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part, pa.int32()), pa.array(np.diff(at).astype(np.int64)), pa.array(signed(sign)), members], names=["key", "part", "n", "sign", "members"])
+
+    def complete(key, doc, part):
+        """Buckets of whole keys; of the first key ``part`` parts are out already."""
         at = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         sizes = np.diff(at)
-        many = np.flatnonzero(sizes > 1)
-        if not len(many):
-            return None
-        marks = mixed(doc.view(np.uint64))
-        sign = np.add.reduceat(marks, at[:-1])[many] ^ mixed(np.bitwise_xor.reduceat(marks, at[:-1])[many])
-        n = sizes[many]
-        take = np.repeat(at[:-1][many] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        members = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(doc[take]))
-        return pa.RecordBatch.from_arrays([pa.array(key[at[:-1][many]]), pa.array(n.astype(np.int64)), pa.array(signed(sign)), members], names=["key", "n", "sign", "members"])
+        split = sizes > most
+        split[0] |= part > 0
+        for g in np.flatnonzero(split):
+            for i in range(at[g], at[g + 1], most):
+                piece = doc[i : min(at[g + 1], i + most)]
+                yield pack(key[i : i + 1], [part], piece, np.array([0, len(piece)]))
+                part += 1
+            part = 0
+        many = np.flatnonzero((sizes > 1) & ~split)
+        if len(many):
+            n = sizes[many]
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            take = np.repeat(at[:-1][many] - bounds[:-1], n) + np.arange(bounds[-1])
+            yield pack(key[at[:-1][many]], np.zeros(len(many), np.int32), doc[take], bounds)
 
-    waiting_k, waiting_d = [], []
-    for batch in batches:
-        key, doc = np.asarray(batch.column("key")), np.asarray(batch.column("doc_id"))
-        if not len(key):
-            continue
-        if waiting_k and key[-1] == waiting_k[0][-1] and key[0] == key[-1]:
-            waiting_k.append(key)
-            waiting_d.append(doc)
-            continue
-        held_key, held = np.concatenate([*waiting_k, key]), np.concatenate([*waiting_d, doc])
-        last = int(np.searchsorted(held_key, held_key[-1], "left"))
-        out = groups(held_key[:last], held[:last]) if last > 1 else None
-        waiting_k, waiting_d = [held_key[last:]], [held[last:]]
-        if out is not None:
-            yield out
-    if waiting_k:
-        out = groups(np.concatenate(waiting_k), np.concatenate(waiting_d))
-        if out is not None:
-            yield out
+    def run(batches):
+        key, doc, part = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc = np.concatenate((key, np.asarray(batch.column("key")))), np.concatenate((doc, np.asarray(batch.column("doc_id"))))
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last:
+                yield from complete(key[:last], doc[:last], part)
+                key, doc, part = key[last:], doc[last:], 0
+            while len(key) > most:
+                yield pack(key[:1], [part], doc[:most], np.array([0, most]))
+                key, doc, part = key[most:], doc[most:], part + 1
+        if len(key):
+            yield from complete(key, doc, part)
+
+    return run
 
 
 def _grouped(batches, column):
@@ -271,37 +281,63 @@ def _verify(least):
     return run
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text): ``key`` tells rows apart by id and lower-cased text, so ids that clash are not mixed up."""
     d = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lowered().alias("text"))
-    return d.mapInArrow(_sketch, "doc_id long, n long, s long, x long, regs binary")
+    return d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    return keyed(docs).mapInArrow(_sketch, "key long, doc_id long, n long, s long, x long, regs binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of distinct candidate pairs (a, b) whose whole texts pass: (a, b, jaccard)."""
+    """Those of distinct candidate pairs (a, b) of keys whose whole texts pass: (a, b, jaccard)."""
     heat = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("salts"))
-    leads = heat.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"), F.col("a").alias("_doc"))
-    members = pairs.join(heat, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(False).alias("own"), F.col("b").alias("_doc"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered().alias("text"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    leads = heat.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"), F.col("a").alias("key"))
+    members = pairs.join(heat, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(False).alias("own"), F.col("b").alias("key"))
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    texts = keyed(docs).drop("doc_id")
     if wanted.limit(WANTED + 1).count() <= WANTED:  # else the join by shuffle alone selects them
-        texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
-    full = leads.unionByName(members).join(texts, F.col("_doc") == F.col("doc_id")).drop("_doc")
+        texts = texts.join(F.broadcast(wanted), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))  # rows that repeat meet before the shuffle
+    full = leads.unionByName(members).join(texts, "key").withColumnRenamed("key", "doc_id")
     ordered = full.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.desc("own"), "doc_id")
     return ordered.select("lead", "salt", "own", "doc_id", "text").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
-def linked(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root) of representatives that meet in a band and pass the estimate and the exact comparison.
+def linked(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, most: int = MEMBERS_A_BUCKET) -> DataFrame:
+    """(node, root) of representatives (doc_id is their key) that meet in a band and pass the estimate and the exact
+    comparison.
 
     Rounds: only exact links make members of a bucket skip each other for good. Members that are open after a round and
-    not of one component then meet again, with four times the patience, until no bucket has such members."""
+    not of one component then meet again, with four times the patience, until no bucket has such members. A bucket of
+    more than ``most`` members is settled part by part; then each part meets the next one, and at last all others, as
+    far as they are not of one component yet."""
     band = reps.select("doc_id", "regs").mapInArrow(_bands(bands, rows), "key long, doc_id long")
-    found = band.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_buckets, "key long, n long, sign long, members array<long>")
+    found = cut(band.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_buckets(most), "key long, part int, n long, sign long, members array<long>"))
     # two documents meet in many bands: buckets with the same members are one bucket
     buckets = found.groupBy("n", "sign").agg(F.min_by("members", "key").alias("members"), F.min("key").alias("bucket"))
-    seats = buckets.select("bucket", F.explode("members").alias("doc_id")).withColumn("root", F.col("doc_id"))
-    tried, roots, patience = None, None, 1
-    while True:
+    roots, tried = _settled(docs, reps, buckets.select("bucket", F.explode("members").alias("doc_id")), None, None, threshold)
+    split = found.filter("part > 0").select("key").distinct()
+    if split.isEmpty():
+        return roots
+    parts_ = found.join(split, "key", "left_semi").select("key", "part", "members")
+    ends = parts_.groupBy("key").agg(F.max("part").alias("last"))
+    pairs = parts_.select("key", "part").join(ends, "key").filter("part < last").select("key", F.col("part").alias("one"), F.explode(F.sequence(F.col("part") + 1, F.col("last"))).alias("two"))
+    sides = pairs.select("key", "one", "two", F.explode(F.array("one", "two")).alias("part"))
+    crossed = sides.join(parts_, ["key", "part"]).select(F.xxhash64("key", "one", "two").alias("bucket"), (F.col("two") - F.col("one")).alias("step"), F.explode("members").alias("doc_id"))
+    for stage in ("step = 1", "step > 1"):
+        roots, tried = _settled(docs, reps, crossed.filter(stage).drop("step"), roots, tried, threshold)
+    return roots
+
+
+def _settled(docs, reps, seats, roots, tried, threshold):
+    """Components after all pairs of each bucket (bucket, doc_id) were compared or found to be of one component, and the
+    pairs that were verified so far."""
+    patience = 1
+    seats = seats.withColumn("root", F.col("doc_id")) if roots is None else cut(_live(seats, roots))
+    while roots is None or not seats.isEmpty():
         seated = seats.join(reps.select("doc_id", "regs"), "doc_id").withColumn("turn", F.xxhash64("doc_id", "bucket"))
         met = cut(seated.repartition("bucket").sortWithinPartitions("bucket", "turn").select("bucket", "doc_id", "root", "regs").mapInArrow(_leaders(threshold - MARGIN, patience), "a long, b long, bucket long"))
         pairs = met.filter("bucket is null").select("a", "b").distinct()
@@ -309,15 +345,32 @@ def linked(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, bands
         tried = pairs if tried is None else tried.union(pairs)
         links = verified(docs, pairs, threshold).select("a", "b")
         roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        left = met.filter("bucket is not null").select("bucket", F.col("a").alias("doc_id")).join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        live = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
-        seats = cut(left.join(live, "bucket", "left_semi"))
-        if seats.isEmpty():
-            return roots
+        seats = cut(_live(met.filter("bucket is not null").select("bucket", F.col("a").alias("doc_id")), roots))
         patience *= 4
+    return roots, tried
+
+
+def _live(seats, roots):
+    """Seats (bucket, doc_id, root) in buckets whose members are not all of one component."""
+    now = seats.join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    live = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
+    return now.join(live, "bucket", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _groups(docs, threshold, bands, rows, most):
+    """(key, doc_id, first, exact): members of groups; ``first`` is the struct (doc_id, key) of the one to keep."""
+    sk = cut(sketches(docs).dropDuplicates(["key", "n", "s", "x"]))
+    same = sk.groupBy("n", "s", "x").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
+    reps = cut(same)
+    roots = linked(docs, reps.select(F.col("first.key").alias("doc_id"), "regs"), threshold, bands, rows, most)
+    kept = reps.select("n", "s", "x", "first", "copies").join(roots, F.col("first.key") == F.col("node"), "left").filter("copies > 1 or root is not null")
+    kept = kept.withColumn("root", F.coalesce("root", "first.key"))
+    best = kept.groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.drop("first").join(best, "root").select("n", "s", "x", "first", (F.col("copies") > 1).alias("exact"))
+    return sk.select("key", "doc_id", "n", "s", "x").join(kept, ["n", "s", "x"]).select("key", "doc_id", "first", "exact")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, most: int = MEMBERS_A_BUCKET) -> DataFrame:
     """Groups of near duplicates: (doc_id, keep_id, exact) for every document of a group of two or more.
 
     Similarity is the Jaccard index of sets of three lower-cased words; a group is a connected component of pairs
@@ -325,21 +378,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     words as one with a smaller id or, for the smallest of them, that it has such a copy. Copies with equal words
     are folded before the search; of the rest every document is a query. Pairs of a band bucket are left out only if
     exact links already connect them, or if their estimate is below ``threshold - MARGIN``; all pairs that are linked
-    were verified on whole texts.
+    were verified on whole texts. A task holds the registers of two parts of a bucket, of ``most`` members each.
 
     Null or empty text and texts without a word are in no group. Texts under three words are one shingle. Null ids
-    are dropped; rows that repeat an id count once. Extra columns are ignored. An empty table gives no rows.
+    are dropped; rows that repeat id and text count once; rows of one id with different texts are documents of their own,
+    told under that id. Extra columns are ignored. An empty table gives no rows.
     """
-    sk = cut(sketches(docs).dropDuplicates(["doc_id", "n", "s", "x"]))
-    same = sk.groupBy("n", "s", "x").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
-    reps = cut(same)
-    roots = linked(docs, reps, threshold, bands, rows)
-    kept = reps.select("n", "s", "x", "doc_id", "copies").join(roots, F.col("doc_id") == F.col("node"), "left").filter("copies > 1 or root is not null")
-    kept = kept.select("n", "s", "x", F.coalesce("root", "doc_id").alias("keep_id"), (F.col("copies") > 1).alias("exact"))
-    return sk.select("doc_id", "n", "s", "x").join(kept, ["n", "s", "x"]).select("doc_id", "keep_id", "exact").distinct()
+    return _groups(docs, threshold, bands, rows, most).select("doc_id", F.col("first.doc_id").alias("keep_id"), "exact")
+
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """Rows of documents in no group, and each group's document of the smallest id (of rows that share this id, one
+    text). Rows without id, text or word stay; rows that repeat id and text stay or go together. Any columns are kept.
 
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Documents in no group, and each group's ``keep_id``."""
-    gone = groups.filter("doc_id <> keep_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    The keys of those that go are counted: up to ``GONE`` they are broadcast, beyond that the join shuffles."""
+    groups = _groups(docs, **({"threshold": THRESHOLD, "bands": BANDS, "rows": ROWS, "most": MEMBERS_A_BUCKET} | how))
+    gone = cut(groups.filter(F.col("key") != F.col("first.key")).select(F.col("key").alias(name := fresh(docs, "_gone"))))
+    few = gone.limit(GONE + 1).count() <= GONE
+    own = F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"), F.lower(docs["text"])))
+    return docs.join(F.broadcast(gone) if few else gone, own == gone[name], "left_anti")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lodestone.llm.near_dup import _meet, cardinality, joint_jaccard, keep_one, near_duplicates, registers
+from lodestone.llm.near_dup import _buckets, _meet, cardinality, joint_jaccard, keep_one, near_duplicates, registers
 from tests.llm.util import DOCS, awkward, prose, seeded, table, words
 
 
@@ -51,7 +51,44 @@ def test_groups_against_brute_force(spark):
 
 def test_one_of_each_group_stays(spark):
     docs = table(spark, ["a b c d", "A b, c d", "else", None, ""])
-    assert sorted(r.doc_id for r in keep_one(docs, near_duplicates(docs)).collect()) == [0, 2, 3, 4]
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == [0, 2, 3, 4]
+
+
+def test_ids_that_clash(spark):
+    """Texts of one id are documents of their own: each may be kept, or be a copy of another's."""
+    rng = seeded(4)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (2, b), (3, c), (4, edited(rng, a, 2)), (4, edited(rng, c, 2)), (None, a), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = sorted(tuple(r) for r in near_duplicates(docs).collect())
+    assert got == [(1, 1, False), (1, 1, True), (2, 1, True), (3, 3, False), (4, 1, False), (4, 3, False)]
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (3, c), (None, a), (5, None)], key=str)
+
+
+def test_split_buckets_hold_every_member():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    key = np.sort(rng.choice([1, 2, 3, 4, 5], 200, p=[0.7, 0.1, 0.1, 0.05, 0.05]))
+    doc = np.concatenate([np.sort(rng.permutation(1000)[: (key == k).sum()]) for k in range(1, 6)])
+    for step in (7, 50, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(doc[i : i + step])], names=["key", "doc_id"]) for i in range(0, 200, step)]
+        for most in (3, 15, 1000):
+            out = [r for b in _buckets(most)(batches) for r in b.to_pylist()]
+            assert all(len(r["members"]) == r["n"] <= most for r in out)
+            for k in range(1, 6):
+                own = sorted((r for r in out if r["key"] == k), key=lambda r: r["part"])
+                assert [r["part"] for r in own] == list(range(len(own)))
+                assert [d for r in own for d in r["members"]] == doc[key == k].tolist()
+
+
+def test_hot_buckets_in_parts_lose_no_pair(spark):
+    texts = corpus()[:60]
+    pairs, _ = groups(texts)
+    whole = {(r.doc_id, r.keep_id) for r in near_duplicates(table(spark, texts), bands=16, rows=1).collect()}
+    split = {(r.doc_id, r.keep_id) for r in near_duplicates(table(spark, texts), bands=16, rows=1, most=4).collect()}
+    assert whole == split and len(pairs) > 5
 
 
 def test_empty_table_and_repeated_rows(spark):

@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textkit import Hasher, flat, grams, lowered, parts, runs, signed, winnow, word_bytes
+from lodestone.llm.textkit import Hasher, fresh, grams, lowered, parts, runs, signed, winnow, word_bytes
 
 K, W = 6, 5
+LONG, SHARE = 13, 0.5  # a span of so many words, or so much of an item, contaminates
 BROADCAST_BYTES = 64 << 20
 SCHEMA = "doc_id long, item_id long, doc_start int, item_start int, n_words int"
 
@@ -153,6 +154,12 @@ def _pairs(column, hasher, inside):
             yield a + r, words[first[r] : first[r + 1]], None
 
 
+def _items(benchmark: DataFrame):
+    """Distinct items with id and text, and their size in bytes."""
+    b = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), lowered().alias("text")).distinct()
+    return b, b.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, min_words: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Maximal spans shared by a document and a benchmark item: (doc_id, item_id, doc_start, item_start, n_words).
 
@@ -168,8 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
     """
     least = max(min_words or 0, k + w - 1)
     d = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lowered().alias("text"))
-    b = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), lowered().alias("text")).distinct()
-    size = b.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    b, size = _items(benchmark)
     if size <= broadcast_bytes:
         table = b.toArrow()
         bench = _Bench(table.column("item_id").to_numpy(), table.column("text"), k, w)
@@ -183,8 +189,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
     return full.select("doc_id", "item_id", "hits", "text", "item_text").mapInArrow(_verify(k, least), SCHEMA).distinct()
 
 
-def contaminated(spans: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.5) -> DataFrame:
-    """Ids of documents that share a span of ``min_words`` words, or ``min_share`` of an item's words, with an item."""
-    words = benchmark.select(F.col("item_id").cast("long").alias("_item"), F.size(F.regexp_extract_all(lowered(), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), 1)).alias("item_words"))
-    held = spans.join(words, spans["item_id"] == words["_item"])
+def contaminated(spans: DataFrame, benchmark: DataFrame, min_words: int = LONG, min_share: float = SHARE) -> DataFrame:
+    """Ids of documents that share a span of ``min_words`` words, or ``min_share`` of an item's words, with an item. Rows
+    that repeat an item's id count by the longest; spans of unknown items by ``min_words`` alone."""
+    words = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("_item"), F.size(F.regexp_extract_all(lowered(), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), 1)).alias("item_words"))
+    held = spans.join(words.groupBy("_item").agg(F.max("item_words").alias("item_words")), spans["item_id"] == F.col("_item"), "left")
     return held.filter((F.col("n_words") >= min_words) | (F.col("n_words") >= min_share * F.col("item_words"))).select("doc_id").distinct()
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, min_words: int = LONG, min_share: float = SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole, that share no span of ``min_words`` words, nor ``min_share`` of an item's words, with
+    the benchmark. Up to ``broadcast_bytes`` of benchmark text each row is judged where it is read, by its own text,
+    whatever its id, and nothing is shuffled; beyond that rows without an id stay and those that share one go together.
+
+    Rows without text stay. Rows that repeat an item's id count by the longest. Either table may be empty. Any columns."""
+    b, size = _items(benchmark)
+    if size > broadcast_bytes:
+        found = contaminated(decontaminate(docs, benchmark, k, w, None, broadcast_bytes), benchmark, min_words, min_share)
+        found = found.withColumnRenamed("doc_id", name := fresh(docs, "_found"))
+        return docs.join(found, docs["doc_id"] == found[name], "left_anti")
+    table = b.toArrow()
+    bench = _Bench(table.column("item_id").to_numpy(), table.column("text"), k, w)
+    longest = {}
+    for item, n in zip(bench.ids.tolist(), np.diff(bench.first).tolist()):
+        longest[item] = max(n, longest.get(item, 0))
+    need = {item: min(min_words, min_share * n) for item, n in longest.items()}
+    shipped = docs.sparkSession.sparkContext.broadcast((bench, need))
+    schema, last = docs.schema, len(docs.columns)
+
+    def run(batches):
+        bench, need = shipped.value
+        judge = _mapper(bench, k, w, k + w - 1)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(last)], names=["doc_id", "text"])
+            keep = np.ones(batch.num_rows, bool)
+            for spans in judge([rows]):
+                for row, item, n in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "item_id", "n_words"))):
+                    keep[row] &= n < need[item]
+            yield batch.select(list(range(last))).filter(pa.array(keep))
+
+    return docs.select("*", lowered().alias(fresh(docs, "_lowered"))).mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-from lodestone.llm.decontam import K, W, contaminated, decontaminate
+from lodestone.llm.decontam import K, W, contaminated, decontaminate, keep_clean
 from tests.llm.util import DOCS, awkward, prose, seeded, table, words
 
 
@@ -48,6 +48,17 @@ def test_which_documents_go(spark):
     assert len(texts) - 1 in gone and not gone & set(range(12))
 
 
+def test_clean_rows_stay_in_place_or_by_shuffle(spark):
+    texts, items, bench = make(spark)
+    docs = table(spark, texts)
+    gone = {r.doc_id for r in contaminated(decontaminate(docs, bench), bench).collect()}
+    for size in (1 << 20, 0):
+        kept = keep_clean(docs, bench, broadcast_bytes=size)
+        assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - gone
+    assert keep_clean(docs, bench.limit(0)).count() == keep_clean(docs, bench.limit(0), broadcast_bytes=-1).count() == len(texts)
+    assert keep_clean(docs.limit(0), bench).count() == 0
+
+
 def test_empty_tables(spark):
     none, bench = spark.createDataFrame([], DOCS), make(spark)[2]
     assert decontaminate(none, bench).count() == 0

@@ -1,6 +1,9 @@
+import os
+
 import duckdb
 import pytest
 
+from lodestone.llm.textkit import checkpoint_dir
 from tests.llm import test_decontam, test_line_dedup, test_near_dup
 from tests.llm.util import awkward, prose, seeded, table
 
@@ -60,6 +63,7 @@ def test_stages_follow_their_brute_force_versions(spark, folder):
     expected = sorted(con.execute(mix_sql()).fetchall())
     assert sorted(tuple(r) for r in stages[4](spark, now, out).collect()) == expected
     assert sorted(tuple(r) for r in pipeline.run(spark, out).collect()) == expected
+    assert not [x for x in os.listdir(checkpoint_dir(spark).removeprefix("file://")) if x.startswith("pipeline-")]  # deleted
 
 
 def test_language_stage_decides_row_by_row(spark, folder):
@@ -69,3 +73,24 @@ def test_language_stage_decides_row_by_row(spark, folder):
     docs = spark.createDataFrame([*kept, (2, "12 34 !!", "en", "s", 1), (2, None, "en", "s", 1), (None, "...", "en", "s", 1)], test_near_dup.DOCS)
     got = pipeline.STAGES[0][1](spark, docs, folder[0])
     assert got.schema == docs.schema and sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect()[: len(kept)])
+
+
+def test_awkward_tables_pass_all_stages(spark, tmp_path):
+    """No rows, no benchmark, null ids, ids that clash, repeated rows: nothing crashes, and clean rows stay."""
+    rng = seeded(9)
+    columns = test_near_dup.DOCS
+    clean = [(i, prose(rng, 40), "en", "s", 1) for i in range(8)]
+    odd = [(None, prose(rng, 40), "en", None, 1), (3, prose(rng, 40), "en", "s", 1), clean[5], (None, None, None, None, None), (9, "", "en", "s", 0)]
+    items = [(0, prose(rng, 30)), (0, prose(rng, 50)), (None, prose(rng, 20)), (1, None)]
+    dirty = [(10, f"{prose(rng, 20)} {items[1][1]}", "en", "s", 1), (None, f"{items[0][1]} {prose(rng, 20)}", "en", "s", 1)]
+    for name, docs, bench in (("none", [], []), ("both", clean + odd + dirty, items)):
+        d = str(tmp_path / name)
+        spark.createDataFrame(docs, columns).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = sorted(r.doc_id for r in pipeline.run(spark, d).collect())
+        assert got == sorted([r[0] for r in clean + odd[1:3] if docs])
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+            stage(spark, now, d).write.parquet(f"{d}/{k}")
+            now = spark.read.parquet(f"{d}/{k}")
+        assert sorted(map(str, now.collect())) == sorted(map(str, spark.createDataFrame((clean + odd[:3]) if docs else [], columns).collect()))

@@ -79,3 +79,23 @@ def test_empty_table_and_repeated_rows(spark):
     assert repeats(spark.createDataFrame([], DOCS)).count() == 0
     text = prose(seeded(1), 80)
     assert repeats(spark.createDataFrame([(1, text, None, None, None)] * 2, DOCS)).count() == 0
+
+
+def test_ids_that_clash(spark):
+    """Each text has its own spans, whatever the other rows of its id are."""
+    rng = seeded(2)
+    p = prose(rng, 70)
+    rows = [(1, f"a b {p}"), (1, prose(rng, 60)), (1, f"{p} x y z"), (2, "too short"), (2, prose(rng, 90)), (None, p)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows * 2], DOCS)
+    assert sorted(tuple(r) for r in repeats(docs).collect()) == [(1, 0, 70), (1, 2, 72)]
+
+
+def test_hot_anchors_find_the_same(spark):
+    """Whether a group is sorted or its windows meet one by one doesn't show."""
+    texts = corpus()
+    rng = seeded(12)
+    notice = prose(rng, 60)
+    texts += [f"{prose(rng, 30)} {notice} {prose(rng, 30)}" for _ in range(40)] + [notice] * 5
+    expected = adjoining(brute(texts))
+    for hot in (1, 12, 1 << 16):
+        assert sorted(tuple(r) for r in repeats(table(spark, texts), hot=hot).collect()) == expected

@@ -1,32 +1,62 @@
 """8. Personal data by a skip-chain conditional random field.
 
-Tokens are runs of non-blanks. Node potentials come from a multinomial logistic regression on token shapes, chain and
-skip potentials from label co-occurrence (piecewise training). Repeated or similar tokens of a document (equal but for
-case and punctuation) are linked from each occurrence to the next; loopy belief propagation over both kinds of edges
-makes their labels agree across the document.
+Tokens are runs of non-blanks. Words in lower-case letters alone are no entity, so they are observed as O; all other
+tokens are variables. Node potentials are log-linear in shapes, check digits and cue words of a token and its
+neighbours. Adjacent tokens share a chain potential; tokens of a document that are equal but for case and punctuation
+share a skip potential, each occurrence with the next. All weights are learnt jointly by pseudo-likelihood. Loopy belief
+propagation over both kinds of edges runs until messages are stable, so labels agree across the document.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.textkit import Hasher, parts, runs, word_bytes
 
-LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
-TRAIN_DOCS, ROUNDS, SKIP_WEIGHT, LEAST_SCORE = 1500, 6, 0.5, 0.5
+LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "IBAN", "ID", "NAME")
+O, EMAIL, PHONE, CARD, IP, SECRET, IBAN, ID, NAME = range(len(LABELS))
+TOGETHER = (PHONE, CARD, IBAN, NAME)  # neighbours with one of these labels are one entity
+TRAIN_DOCS, TRAIN_BYTES, LEAST_SCORE = 1500, 8 << 20, 0.5
+TOLERANCE, DAMP_AFTER, STOP_AFTER = 1e-3, 60, 2000  # of messages; rounds
+EDGE = "\"'([{<|*#$%&!,;:=.?)]}>~`"
+#: Labels for training that documents are given, each for whole tokens of the match; earlier ones hold.
 WEAK = (
-    (2, re.compile(rb"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)")),
-    (1, re.compile(rb"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")),
-    (4, re.compile(rb"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])")),
-    (3, re.compile(rb"(?<![\w.])\d{13,19}(?!\w)")),
-    (5, re.compile(rb"(?<!\w)(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?!\w)")),
+    (PHONE, re.compile(rb"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)")),
+    (EMAIL, re.compile(rb"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")),
+    (IP, re.compile(rb"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])")),
+    (CARD, re.compile(rb"(?<![\w.])\d{13,19}(?!\w)")),
+    (SECRET, re.compile(rb"(?<!\w)(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?!\w)")),
 )
-CLASSES = ("0123456789", "abcdefABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ", "@", ".", "-_", "()", "+", "\"'", "=:", "*#$%&!|,;?")
+CUES = (
+    ("name", "mr mrs ms miss dr prof sir name contact signed dear sincerely regards herr frau señor señora monsieur madame attn"),
+    ("id", "ssn social security passport license taxpayer"),
+    ("card", "card visa mastercard amex credit debit"),
+    ("phone", "tel phone call fax mobile telephone cell whatsapp ring"),
+    ("plain", "version v release build order invoice no nr number commit sha page room chapter id item code part isbn section"),
+    ("key", "token key secret password api_key apikey auth bearer credential"),
+    ("bank", "iban account bank"),
+)
+CUE = {w: kind for kind, words in CUES for w in words.split()}
+SHAPES = tuple(
+    (name, re.compile(pattern))
+    for name, pattern in (
+        ("email", r"[\w.+-]+@[\w-]+(\.[\w-]+)*\.[^\W\d_]{2,}"), ("dial", r"(\+|00)\d{1,3}"), ("area", r"\(\d{1,5}\)"), ("d1", r"\d{1,3}"), ("d4", r"\d{4}"), ("d5", r"\d{5,6}"), ("d7", r"\d{7,12}"), ("d13", r"\d{13,19}"), ("d20", r"\d{20,}"),
+        ("local", r"\d{3,4}-\d{4}"), ("ssn", r"\d{3}-\d{2}-\d{4}"), ("decimal", r"\d+[.,]\d+%?"), ("date", r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"), ("hex16", r"(?=.*\d)(?=.*[a-fA-F])[0-9a-fA-F]{16,31}"), ("hex32", r"(?=.*\d)(?=.*[a-fA-F])[0-9a-fA-F]{32,}"),
+        ("prefix", r"(AKIA|ASIA)[0-9A-Z]{12,}|(gh[a-z]|sk|pk|rk|xox[a-z]|glpat|npm|hf|pat|key)[_-]\w[\w-]{14,}|AIza[\w-]{20,}|eyJ[\w-]{8,}\.[\w.-]{8,}"), ("mixed", r"(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"), ("country", r"[A-Z]{2}\d{2}"),
+    )
+)
+FLAGS = ("at", "plus", "grouped7", "grouped13", "luhn", "quad", "v6", "iban", "quoted", "title", "caps", "digits", "other", "long", "luhn_run", "iban_run", *(f"cue_{k}" for k, _ in CUES))
+NAMES = (*(n for n, _ in SHAPES), *FLAGS)
+BIT = {n: np.uint64(1 << i) for i, n in enumerate(NAMES)}
+BEFORE = ("dial", "area", "d1", "d4", "plus", "title", "country", "grouped7", *(f"cue_{k}" for k, _ in CUES))  # what counts of the token before, and of the one before that
+AFTER = ("area", "d1", "d4", "d5", "local", "title", "luhn_run")
+N_FEATURES = 1 + len(NAMES) + 2 * len(BEFORE) + len(AFTER)
 
 
 def blanks() -> np.ndarray:
@@ -35,71 +65,173 @@ def blanks() -> np.ndarray:
     return table
 
 
-def lanes() -> np.ndarray:
-    """Three counters of 21 bits in each of four words, for one prefix-free sum per token."""
-    table = np.zeros((4, 256), np.uint64)
-    for i, chars in enumerate(CLASSES):
-        for c in chars.encode():
-            table[i // 3, c] += np.uint64(1 << (21 * (i % 3)))
-    return table
-
-
-def shapes(data, starts, ends, owner):
-    """Binary features (tokens x features) of tokens and their neighbours, as float32."""
-    n = len(starts)
-    table, counts = lanes(), np.zeros((n, 12), np.int32)
-    bounds = np.stack((starts, ends), 1).ravel()
-    pad = np.zeros(1, np.uint64)
-    for word in range(4):
-        sums = np.add.reduceat(np.concatenate((table[word][data], pad)), bounds)[::2]
-        for i in range(3):
-            counts[:, word * 3 + i] = ((sums >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1)).astype(np.int32)
-    size = (ends - starts).astype(np.int32)
-    counts[size >= 1 << 20] = 0
-    digit, hexa, low, up, at, dot, dash, paren, plus, quote, equal, other = counts.T
-    core = size - at - dot - dash - paren - plus - quote - equal - other
-    letters = core - digit
-    final = np.isin(data[ends - 1], np.frombuffer(b".", np.uint8)).astype(np.int32)
-    inner = dot - final
-    hexlike = (digit > 0) & (hexa > 0) & (low == 0) & (up == 0) & (core == digit + hexa)
-    pure = (digit > 0) & (letters == 0)
-    cols = [
-        np.ones(n, bool), at == 1, (at == 1) & (inner >= 1) & (core >= 5), at > 1, digit == 0, (digit >= 1) & (digit <= 3) & pure, pure & (digit >= 4) & (digit <= 6),
-        pure & (digit >= 7) & (digit <= 12) & (inner == 0), pure & (digit >= 13) & (digit <= 19) & (inner == 0) & (dash == 0), pure & (digit > 19), pure & (inner == 3) & (digit >= 4) & (digit <= 12), inner >= 1,
-        hexlike & (core >= 32), hexlike & (core >= 16) & (core < 32), quote > 0, plus > 0, paren == 2, pure & (plus == 1) & (digit <= 3), pure & (paren == 2) & (digit == 3), pure & (dash == 1) & (digit == 7),
-        pure & (dash >= 1), up > 0, letters > 0, size >= 30,
-    ]
-    own = np.stack(cols, 1)
-
-    def moved(x, step):
-        out = np.zeros(n, bool)
-        if n > 1:
-            if step > 0:
-                out[1:] = x[:-1] & (owner[1:] == owner[:-1])
-            else:
-                out[:-1] = x[1:] & (owner[1:] == owner[:-1])
-        return out
-
-    near = [moved(cols[17], 1), moved(cols[18], 1), moved(cols[18], -1), moved(cols[19], -1), moved(equal == size, 1)]
-    return np.concatenate((own, np.stack(near, 1)), 1).astype(np.float32), digit + at + up
-
-
-def skips(data, starts, ends, owner, odd):
-    """Edges from each odd-looking token to the next one of its document that is equal but for case and punctuation."""
-    some = np.flatnonzero((odd > 0) & (ends - starts >= 4))
-    if len(some) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    folded = np.arange(256, dtype=np.uint8)
-    folded[65:91] += 32
-    hasher = Hasher(5)
-    keep = word_bytes()
-    hasher.table = np.where(keep, hasher.table[folded], np.uint64(0))  # punctuation adds nothing inside a token
-    lead = _first_kept(keep[data], starts[some], ends[some])
-    key = hasher(data, lead, ends[some])
-    order = np.lexsort((some, key, owner[some]))
-    a, b = order[:-1], order[1:]
-    same = (key[a] == key[b]) & (owner[some[a]] == owner[some[b]])
-    return some[a[same]], some[b[same]]
+BLANK = blanks()
+OPEN = np.zeros(256, np.uint8)  # what makes a token a variable: digits, capitals, @ : _ and the like; letters and edge marks don't
+OPEN[[*range(48, 58), *range(65, 91), 64, 43, 95]] = 1
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def is_iban(text: str) -> bool:
+    if not re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", text):
+        return False
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def mark(raw: bytes) -> int:
+    """Bits of NAMES that a token has by itself."""
+    whole = raw.decode("utf-8", "replace")
+    token = whole.strip(EDGE) if not re.match(r"[\"'*#\[{<]*\(\d{1,5}\)", whole) else whole.strip("\"'*#[]{}<>,;:.!?")
+    out, kind = 0, CUE.get(token.lower())
+    if kind:
+        out |= int(BIT[f"cue_{kind}"])
+    for name, pattern in SHAPES:
+        if pattern.fullmatch(token):
+            out |= int(BIT[name])
+    digits = sum(c.isdigit() for c in token)
+    add = lambda name, so: int(BIT[name]) if so else 0
+    letters = any(c.isalpha() for c in token)
+    plain = digits and not letters and re.fullmatch(r"[+\d().\-/]+", token)
+    figures = re.sub(r"\D", "", token) if plain else ""
+    separated = bool(plain) and bool(re.search(r"\d[-./()]+\d", token)) and not re.fullmatch(r"\d+[.,]\d+", token)
+    out |= add("at", "@" in token) | add("plus", token.startswith("+") and digits >= 7)
+    out |= add("grouped7", separated and 7 <= len(figures) <= 12) | add("grouped13", separated and 13 <= len(figures) <= 19)
+    out |= add("luhn", 13 <= len(figures) <= 19 and luhn(figures))
+    out |= add("quad", bool(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", token)) and all(int(x) < 256 for x in token.split(".")))
+    if 2 <= token.count(":") <= 8 and len(token) < 50:
+        try:
+            out |= add("v6", ipaddress.ip_address(token).version == 6)
+        except ValueError:
+            pass
+    out |= add("iban", len(token) < 40 and is_iban(token)) | add("quoted", whole[:1] in "\"'" and whole[:1] != "")
+    word = token.replace("-", "").replace("'", "")
+    out |= add("title", word.isalpha() and token[:1].isupper() and not token.isupper()) | add("caps", word.isalpha() and token.isupper() and len(token) > 1)
+    return out | add("digits", digits > 0) | add("other", digits > 0 and letters) | add("long", len(token) >= 30)
+
+
+class Reader:
+    """Variables of a chunk of texts, their features and edges. Marks of tokens are remembered for a task."""
+
+    def __init__(self):
+        self.known, self.hasher, self.plain_cues = {}, Hasher(5), {w.encode() for w in CUE}
+        folded = np.arange(256, dtype=np.uint8)
+        folded[65:91] += 32
+        self.keep = word_bytes()
+        self.hasher.table = np.where(self.keep, self.hasher.table[folded], np.uint64(0))  # punctuation adds nothing
+
+    def marks(self, data, starts, ends) -> np.ndarray:
+        """Own bits of every token; plain words have none but those of cues."""
+        n = len(starts)
+        bits = np.zeros(n, np.uint64)
+        if not n:
+            return bits
+        bounds = np.stack((starts, ends), 1).ravel()
+        # hexadecimal groups with colons need no digit, so a colon inside counts too
+        flags = OPEN[data]
+        inner = np.flatnonzero(data == 58)
+        inner = inner[(inner > 0) & (inner + 1 < len(data))]
+        flags[inner[~BLANK[data[inner - 1]] & ~BLANK[data[np.minimum(inner + 1, len(data) - 1)]]]] = 1
+        odd = np.maximum.reduceat(np.concatenate((flags, [0])), bounds)[::2] > 0
+        short = (ends - starts <= 14) & ~odd
+        for i in np.flatnonzero(odd).tolist():
+            bits[i] = self.mark(data[starts[i] : ends[i]].tobytes())
+        size = ends - starts
+        keys = self.hasher(data, starts, ends)
+        cue = np.flatnonzero(short & np.isin(keys, self.cue_keys()))
+        for i in cue.tolist():
+            bits[i] = self.mark(data[starts[i] : ends[i]].tobytes())
+        self.odd, self.keys, self.size = odd, keys, size
+        return bits
+
+    def cue_keys(self):
+        if not hasattr(self, "_cue_keys"):
+            text = b" ".join(sorted(self.plain_cues))
+            at = np.frombuffer(text, np.uint8)
+            s, e, _ = runs(~BLANK[at], np.array([0, len(at)]))
+            self._cue_keys = self.hasher(at, s, e)
+        return self._cue_keys
+
+    def mark(self, raw: bytes) -> int:
+        if len(raw) > 64:
+            return mark(raw)
+        got = self.known.get(raw)
+        if got is None:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            got = self.known[raw] = mark(raw)
+        return got
+
+    def read(self, data, offsets):
+        """(starts, ends, owner, variables, features, ties, chain, skip): token bounds; indices of the variables; their
+        feature rows; whether a plain word stands before and after (else a variable or nothing); edges among variables."""
+        starts, ends, owner = runs(~BLANK[data], offsets)
+        bits = self.marks(data, starts, ends)
+        n = len(starts)
+        if not n:
+            none = np.zeros((0, 2), np.int64)
+            return starts, ends, owner, np.zeros(0, np.int64), np.zeros((0, N_FEATURES), np.float32), np.zeros((0, 2), bool), none, none
+        self._runs(data, starts, ends, owner, bits)
+        var = np.flatnonzero(self.odd)
+        padded = np.concatenate((np.zeros(2, np.uint64), bits, np.zeros(1, np.uint64)))
+        whose = np.concatenate(([-1, -1], owner, [-1]))
+
+        def near(step):
+            return np.where(whose[var + 2 + step] == owner[var], padded[var + 2 + step], np.uint64(0))
+
+        cols = [np.ones(len(var), bool)]
+        own, one, two, after = bits[var], near(-1), near(-2), near(1)
+        cols += [(own & BIT[x]) > 0 for x in NAMES] + [(one & BIT[x]) > 0 for x in BEFORE] + [(two & BIT[x]) > 0 for x in BEFORE] + [(after & BIT[x]) > 0 for x in AFTER]
+        x = np.stack(cols, 1).astype(np.float32)
+        odd = np.concatenate((self.odd, [False]))
+        same = np.concatenate((owner[1:] == owner[:-1], [False]))  # with the next token
+        place = np.cumsum(self.odd) - 1
+        linked = np.flatnonzero(same & odd[:-1] & odd[1:])
+        chain = np.stack((place[linked], place[np.minimum(linked + 1, n - 1)]), 1)
+        before = np.concatenate(([False], same[:-1])) & ~np.concatenate(([False], odd[:-2]))
+        ties = np.stack((before, same & ~odd[1:]), 1)[var]
+        return starts, ends, owner, var, x, ties, chain, self._skips(data, starts, ends, owner, var)
+
+    def _skips(self, data, starts, ends, owner, var):
+        """Each variable and the next one of its document that is equal but for case and punctuation."""
+        if len(var) < 2:
+            return np.zeros((0, 2), np.int64)
+        first = _first_kept(self.keep[data], starts[var], ends[var])
+        key = self.hasher(data, first, ends[var])
+        full = np.add.reduceat(np.concatenate((self.keep[data], [False])).astype(np.int64), np.stack((starts[var], ends[var]), 1).ravel())[::2] > 0
+        at = np.flatnonzero(full)
+        order = at[np.lexsort((at, key[at], owner[var[at]]))]
+        a, b = order[:-1], order[1:]
+        same = (key[a] == key[b]) & (owner[var[a]] == owner[var[b]])
+        return np.stack((a[same], b[same]), 1)
+
+    def _runs(self, data, starts, ends, owner, bits):
+        """Groups over several tokens with a right check digit: four times four figures, and an account number."""
+        is4 = (bits & BIT["d4"]) > 0
+        n = len(bits)
+        if n >= 4:
+            at = np.flatnonzero(is4[:-3] & is4[1:-2] & is4[2:-1] & is4[3:] & (owner[:-3] == owner[3:]))
+            last = -4
+            for i in at.tolist():
+                if i >= last + 4 and luhn(re.sub(rb"\D", b"", data[starts[i] : ends[i + 3]].tobytes()).decode()):
+                    bits[i : i + 4] |= BIT["luhn_run"]
+                    last = i
+        for i in np.flatnonzero((bits & BIT["country"]) > 0).tolist():
+            j, text = i, ""
+            while j < n and j < i + 9 and owner[j] == owner[i]:
+                piece = data[starts[j] : ends[j]].tobytes().decode("utf-8", "replace").strip(EDGE)
+                if not (piece.isalnum() and piece.isascii() and len(piece) <= 4):
+                    break
+                text += piece
+                j += 1
+                if is_iban(text) and (j == n or owner[j] != owner[i] or len(text) >= 22 or len(piece) < 4):
+                    bits[i:j] |= BIT["iban_run"]
+                    break
 
 
 def _first_kept(keep, starts, ends):
@@ -111,33 +243,59 @@ def _first_kept(keep, starts, ends):
 
 
 def _normed(x):
-    x /= x.sum(1, keepdims=True)
+    x = x / x.sum(1, keepdims=True)
     return x
 
 
-def infer(unary, owner, edges, chain, skip, rounds=ROUNDS):
-    """Marginals (tokens x labels) after ``rounds`` parallel rounds of belief propagation on chain and skip edges."""
+def infer(unary, owner, chain_edges, skip_edges, chain, skip, tolerance=TOLERANCE):
+    """Marginals (variables x labels) by belief propagation on chain and skip edges (pairs of variables, the earlier one
+    first). Documents whose messages changed by less than ``tolerance`` rest; those that go on for long are damped."""
     n, k = unary.shape
-    ahead, back = np.ones((n, k), np.float32), np.ones((n, k), np.float32)
-    a, b = edges
-    from_a, from_b = np.ones((len(a), k), np.float32), np.ones((len(b), k), np.float32)
-    border = np.concatenate(([True], owner[1:] != owner[:-1])) if n else np.zeros(0, bool)
-    skipped = np.ones((n, k), np.float32)
-    for _ in range(rounds):
-        base = unary * skipped
-        forward, backward = _normed((base * ahead) @ chain), _normed((base * back) @ chain.T)
-        if len(a):
-            belief = _normed(base * ahead * back)
-            out_a, out_b = _normed(belief[a] / np.maximum(from_b, 1e-6) @ skip), _normed(belief[b] / np.maximum(from_a, 1e-6) @ skip.T)
-            from_a, from_b = out_a, out_b
-            skipped[a] = 1
-            skipped[b] = 1
-            skipped[b] *= from_a  # a token has at most one edge to each side
-            skipped[a] *= from_b
-        ahead[1:], back[:-1] = forward[:-1], backward[1:]
-        ahead[border] = 1
-        back[:-1][border[1:]] = 1
-    return _normed(unary * skipped * ahead * back)
+    logu = np.log(np.maximum(unary, 1e-30)).astype(np.float64)
+    edges = np.concatenate((chain_edges, skip_edges)).astype(np.int64).reshape(-1, 2)
+    m = len(edges)
+    if not m:
+        return _normed(np.exp(logu - logu.max(1, keepdims=True)))
+    src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
+    back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
+    is_chain = np.arange(m) < len(chain_edges)
+    kind = np.concatenate((np.where(is_chain, 0, 2), np.where(is_chain, 1, 3)))
+    tables = (chain, chain.T, skip, skip.T)
+    msg = np.full((2 * m, k), -np.log(k))
+    belief = np.zeros((n, k))
+
+    def believe(active):
+        for j in range(k):
+            belief[:, j] = np.bincount(dst[active], msg[active, j], n)
+        np.add(belief, logu, out=belief)
+
+    active, rounds = np.arange(2 * m), 0
+    while len(active) and rounds < STOP_AFTER:
+        believe(active)
+        pre = belief[src[active]] - msg[back[active]]
+        pre = np.exp(pre - pre.max(1, keepdims=True))
+        new = np.empty_like(pre)
+        for t, table in enumerate(tables):
+            own = kind[active] == t
+            if own.any():
+                new[own] = pre[own] @ table
+        new /= new.sum(1, keepdims=True)
+        if rounds >= DAMP_AFTER:
+            new = 0.5 * new + 0.5 * np.exp(msg[active])
+        change = np.abs(new - np.exp(msg[active])).max(1)
+        msg[active] = np.log(np.maximum(new, 1e-30))
+        moving = np.zeros(int(owner.max()) + 1, bool)
+        moving[owner[src[active[change > tolerance]]]] = True
+        active = active[moving[owner[src[active]]]]
+        rounds += 1
+    believe(np.arange(2 * m))
+    return _normed(np.exp(belief - belief.max(1, keepdims=True)))
+
+
+def potentials(model, x, ties):
+    """Node potentials, with what plain neighbours (observed as O) add to them."""
+    z = x @ model["w"] + ties[:, :1] * model["t"][O][None] + ties[:, 1:] * model["t"][:, O][None]
+    return np.exp(z - z.max(1, keepdims=True)) + 1e-9
 
 
 def weak_labels(data, starts, ends):
@@ -150,121 +308,179 @@ def weak_labels(data, starts, ends):
     return out
 
 
-def seeds(n=120, seed=3) -> list[str]:
-    """Generated lines with every kind of entity, so that each label is known even where the sample has none. Entities
-    stand in prose or, in every second line, one after the other as in a record; three of each line are repeated at its
-    end, from which the skip potentials learn that copies agree."""
+def with_check(digits: str) -> str:
+    """Digits and their check digit."""
+    return next(digits + str(i) for i in range(10) if luhn(digits + str(i)))
+
+
+def an_iban(country: str, rest: str) -> str:
+    n = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - n % 97:02}{rest}"
+
+
+def seeds(n=400, seed=3) -> list[tuple[list[str], list[int]]]:
+    """Generated lines of tokens with labels: every kind of entity in several forms, in prose or one after the other as in
+    a record, and numbers, codes and capital words that are none. Some things are repeated later in their line, from
+    which the skip weights learn that copies agree, those outside entities too."""
     r = np.random.default_rng(seed)
     d = lambda k: "".join(map(str, r.integers(0, 10, k)))
     word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9)))
-    out = []
-    kinds = [
-        lambda: f"{word()}.{d(2)}@{word()}.{word()}.com", lambda: f"{word()}@{word()}.org", lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: d(16), lambda: ".".join(str(x) for x in r.integers(0, 256, 4)),
-        lambda: f'{word()} = "{r.bytes(20).hex()}"', lambda: r.bytes(16).hex(), lambda: d(2), lambda: d(4), lambda: f"{d(3)}-{d(2)}", lambda: f"{d(1)}.{d(2)}",
+    name = lambda: word().capitalize()
+    pick = lambda *x: x[r.integers(0, len(x))]
+    alnum = lambda k, s="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(s[i] for i in r.integers(0, len(s), k))
+    four = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+    octet = lambda: str(r.integers(0, 256))
+    hexes = lambda k: f"{r.integers(0, 1 << 16):x}" + "".join(f":{r.integers(0, 1 << 16):x}" for _ in range(k - 1))
+    iban = lambda: an_iban(*pick(("DE", d(18)), ("FR", d(23)), ("ES", d(20)), ("NL", "ABNA" + d(10))))
+    cue = {k: w.split() for k, w in CUES}
+    entities_ = [
+        lambda: (EMAIL, f"{word()}.{d(2)}@{word()}.{word()}.com"), lambda: (EMAIL, f"{word()}@{word()}.org"), lambda: (PHONE, f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}"), lambda: (PHONE, f"{pick(*cue['phone'])}| {d(3)}-{d(3)}-{d(4)}"), lambda: (PHONE, f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}"),
+        lambda: (PHONE, f"+{d(2)} {d(2)} {d(4)} {d(4)}"), lambda: (PHONE, f"+{d(2)} {d(3)} {d(3)} {d(4)}"), lambda: (PHONE, f"+{d(12)}"), lambda: (PHONE, f"({d(3)}) {d(3)}-{d(4)}"), lambda: (CARD, with_check("4" + d(14))), lambda: (CARD, "4" + d(15)), lambda: (CARD, "5" + d(15)), lambda: (CARD, four(with_check("5" + d(14)))), lambda: (CARD, four(with_check("4" + d(14))).replace(" ", "-")),
+        lambda: (IP, ".".join(octet() for _ in range(4))), lambda: (IP, hexes(8)), lambda: (IP, f"{hexes(3)}::{hexes(2)}"), lambda: (SECRET, f'{pick(*cue["key"])} =| "{r.bytes(20).hex()}"'), lambda: (SECRET, r.bytes(16).hex()), lambda: (SECRET, r.bytes(32).hex().upper()), lambda: (SECRET, "AKIA" + alnum(16).upper()), lambda: (SECRET, pick("ghp_", "sk_", "xoxb-") + alnum(32)),
+        lambda: (SECRET, f"{pick(*cue['key'])}:| {alnum(28)}7aB"), lambda: (IBAN, iban()), lambda: (IBAN, four(iban())), lambda: (ID, f"{pick(*cue['id'])}| {d(3)}-{d(2)}-{d(4)}"), lambda: (ID, f"{d(3)}-{d(2)}-{d(4)}"), lambda: (NAME, f"{pick(*cue['name'])}:| {name()} {name()}"), lambda: (NAME, f"{pick('Mr.', 'Mrs.', 'Dr.', 'Prof.', 'Herr', 'Frau')}| {name()}"),
     ]
+    others = [
+        lambda: d(1), lambda: d(2), lambda: d(3), lambda: d(4), lambda: d(5), lambda: f"{d(4)} {d(4)}", lambda: f"{d(1)}.{d(2)}", lambda: f"{d(3)}-{d(2)}", lambda: f"20{d(2)}-0{d(1)}-1{d(1)}", lambda: f"{pick('version', 'release', 'v')} {octet()}.{octet()}.{octet()}.{octet()}", lambda: f"{pick('order', 'invoice', 'item')} {d(16)}", lambda: f"{pick('commit', 'sha')} {r.bytes(20).hex()}",
+        name, name, lambda: f"{name()} {name()}", lambda: word().upper(), lambda: f"{word()}{d(2)}", lambda: f"{word().upper()}-{d(3)}", lambda: f"{pick('room', 'page', 'no', 'number')} {d(4)}", lambda: alnum(6), lambda: f"{d(1)}:{d(2)}", lambda: f"@{word()}", lambda: f"{d(7)}", lambda: f"{d(10)}", lambda: f"{word()}_{word()}",
+    ]
+    out = []
     for i in range(n):
-        things, record, line = [make() for make in kinds], i % 2 == 0, []
-        for j in r.permutation(len(things)):
-            line += [] if record else [word(), word()]
-            line.append(things[j] + ("." if r.random() < 0.2 else ""))
-            line += [kinds[j]()] if record and r.random() < 0.3 else []
-        for j in range(3):
-            line += [word(), things[(i + j) % len(things)]]
-        out.append(" ".join(line))
+        tokens, labels = [], []
+
+        def put(label, text, times=1):
+            for _ in range(times):
+                lead, _, body = text.rpartition("|")
+                for label_, part in ((O, lead), (label, body)):
+                    for t in part.split():
+                        tokens.append(t)
+                        labels.append(label_)
+                if r.random() < 0.15:
+                    tokens[-1] += pick(".", ",", "!", "&&&")
+
+        def prose(k):
+            for _ in range(k):
+                put(O, word() if r.random() < 0.85 else name())
+
+        again = []
+        for j in range(10):
+            if i % 3:
+                prose(r.integers(1, 5))
+            label, text = pick(*entities_)() if r.random() < 0.5 else (O, pick(*others)())
+            put(label, text, 1 if r.random() < 0.9 else int(r.integers(2, 5)))
+            again.append((label, text.rpartition("|")[2]))
+        for j in r.permutation(len(again))[:4]:
+            prose(r.integers(1, 4))
+            put(*again[j])
+        out.append((tokens, labels))
     return out
 
 
-def _fit(x, y, weight, classes, steps=300, rate=2.0, l2=1e-4):
-    """Multinomial logistic regression on distinct rows with multiplicities, by accelerated gradient descent."""
-    w, v, share = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes)), np.sqrt(weight)
-    share /= share.sum()
-    target = np.eye(classes)[y]
+def fit(x, before, after, near, y, weight, steps=1000, rate=2.0, l2=(2e-5, 1e-4)):
+    """Weights by pseudo-likelihood: each variable's label given its features, the labels beside it and the counts of
+    labels at the ends of its skip edges. Rows are distinct, ``weight`` their multiplicities. ``before`` and ``after``:
+    labels, -1 where there is no token. One table serves both directions of the chain; that of skips is symmetric."""
+    k, f = len(LABELS), x.shape[1]
+    eye = np.vstack((np.eye(k), np.zeros((1, k))))
+    p, q, target = eye[before], eye[after], np.eye(k)[y]
+    share = np.sqrt(weight)
+    share = (share / share.sum())[:, None]
+    w = [np.zeros((f, k)), np.zeros((k, k)), np.zeros((k, k))]
+    v = [a.copy() for a in w]
     for _ in range(steps):
-        look = w + 0.9 * v
-        z = x @ look
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        v = 0.9 * v - rate * (x.T @ ((p - target) * share[:, None]) + l2 * look)
-        w = w + v
+        look = [a + 0.9 * b for a, b in zip(w, v)]
+        z = x @ look[0] + p @ look[1] + q @ look[1].T + near @ look[2]
+        e = np.exp(z - z.max(1, keepdims=True))
+        g = (e / e.sum(1, keepdims=True) - target) * share
+        s = near.T @ g
+        grads = (x.T @ g + l2[0] * look[0], p.T @ g + (q.T @ g).T + l2[1] * look[1], (s + s.T) / 2 + l2[1] * look[2])
+        v = [0.9 * b - rate * d for b, d in zip(v, grads)]
+        w = [a + b for a, b in zip(w, v)]
     return w
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """Piecewise training on weak labels (patterns) of a hash sample of at most ``train_docs`` documents and on
-    generated lines. Co-occurrence potentials are P(a, b) / P(a) P(b), those of skip edges tempered."""
-    ids = docs.filter("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("pii")), "doc_id").limit(train_docs).distinct()
-    texts = [r[0] for r in docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").collect()] + seeds()
-    column = pa.array(texts, pa.string())
-    rows, labels, k = [], [], len(LABELS)
-    pairs, jumps = np.full((k, k), 0.1), np.full((k, k), 0.1)
-    blank = blanks()
-    for _a, _b, data, offsets in parts(column):
-        starts, ends, owner = runs(~blank[data], offsets)
-        if not len(starts):
-            continue
-        y = weak_labels(data, starts, ends)
-        x, odd = shapes(data, starts, ends, owner)
-        same = owner[1:] == owner[:-1]
-        np.add.at(pairs, (y[:-1][same], y[1:][same]), 1)
-        a, b = skips(data, starts, ends, owner, odd)
-        np.add.at(jumps, (y[a], y[b]), 1)
-        both, count = np.unique(np.concatenate((x, y[:, None]), 1), axis=0, return_counts=True)
-        rows.append(both)
-        labels.append(count)
-    both, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    weight = np.bincount(which.ravel(), np.concatenate(labels))
-    w = _fit(both[:, :-1].astype(np.float64), both[:, -1].astype(int), weight, k)
-
-    def ratio(joint, power):
-        joint = joint / joint.sum()
-        return np.clip((joint / np.outer(joint.sum(1), joint.sum(0))) ** power, 1e-3, 1e3).astype(np.float32)
-
-    return {"w": w.astype(np.float32), "chain": ratio(pairs, 0.5), "skip": ratio(jumps + jumps.T, SKIP_WEIGHT)}
-
-
-def label_chunk(model, data, offsets):
-    """Marginals of the tokens of a chunk: (starts, ends, owner, marginals)."""
-    starts, ends, owner = runs(~blanks()[data], offsets)
-    if not len(starts):
-        return starts, ends, owner, np.zeros((0, len(LABELS)), np.float32)
-    x, odd = shapes(data, starts, ends, owner)
-    z = x @ model["w"]
-    unary = _normed(np.exp(z - z.max(1, keepdims=True)) + 1e-6)
-    return starts, ends, owner, infer(unary, owner, skips(data, starts, ends, owner, odd), model["chain"], model["skip"])
-
-
-def entities(model, data, offsets, least=LEAST_SCORE):
-    """(document, start, end, label, score) of each entity; neighbours with one label are one phone number, and other
-    entities of their own. Offsets are characters of the document, surrounding punctuation is left out."""
-    starts, ends, owner, p = label_chunk(model, data, offsets)
-    best = p.argmax(1) if len(p) else np.zeros(0, int)
-    hits = np.flatnonzero((best > 0) & (p.max(1) >= least)) if len(p) else []
+def rows_of(reader, data, offsets, labels):
+    """Training rows of a chunk: features, labels before and after, counts at skip edges, labels."""
+    starts, ends, owner, var, x, ties, _chain, skip = reader.read(data, offsets)
+    y = labels(data, starts, ends)
+    y[~reader.odd] = O
+    same = owner[1:] == owner[:-1]
+    before, after = np.full(len(y), -1), np.full(len(y), -1)
+    before[1:][same], after[:-1][same] = y[:-1][same], y[1:][same]
+    near = np.zeros((len(var), len(LABELS)))
+    own = y[var]
+    np.add.at(near, (skip[:, 0], own[skip[:, 1]]), 1)
+    np.add.at(near, (skip[:, 1], own[skip[:, 0]]), 1)
+    return np.concatenate((x, before[var][:, None], after[var][:, None], near, own[:, None]), 1).astype(np.float32)
+
+
+def learn(texts: list[str], lines=None) -> dict:
+    """The model from texts, labelled by patterns, and generated lines."""
+    reader, rows = Reader(), []
+    for _a, _b, data, offsets in parts(pa.array(texts, pa.large_string())):
+        rows.append(rows_of(reader, data, offsets, weak_labels))
+    for tokens, labels in seeds() if lines is None else lines:
+        data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
+        rows.append(np.repeat(rows_of(reader, data, np.array([0, len(data)]), lambda *_, y=labels: np.array(y)), 1, 0))
+    every, count = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+    f, k = N_FEATURES, len(LABELS)
+    w, t, s = fit(every[:, :f].astype(np.float64), every[:, f].astype(int), every[:, f + 1].astype(int), every[:, f + 2 : f + 2 + k].astype(np.float64), every[:, -1].astype(int), count)
+    return {"w": w.astype(np.float32), "t": t.astype(np.float32), "chain": np.exp(t), "skip": np.exp(s)}
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> dict:
+    """A model from generated lines and a hash sample of at most ``train_docs`` rows and ``train_bytes`` bytes of text,
+    labelled by patterns. Rows that repeat are sampled once."""
+    keyed = docs.filter("text is not null").select(F.xxhash64("text", F.lit("pii")).alias("key"), F.octet_length("text").cast("long").alias("size"))
+    first = keyed.filter(F.col("size") <= train_bytes).distinct().orderBy("key").limit(train_docs)
+    so_far = F.sum("size").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    keys = first.withColumn("so_far", so_far).filter(F.col("so_far") <= train_bytes).select("key")
+    own = docs.filter("text is not null").select(F.xxhash64("text", F.lit("pii")).alias("key"), "text").join(F.broadcast(keys), "key", "left_semi")
+    return learn([r[0] for r in own.groupBy("key").agg(F.first("text").alias("text")).orderBy("key").select("text").collect()])
+
+
+def entities(model, data, offsets, least=LEAST_SCORE, reader=None):
+    """(document, start, end, label, score) of each entity; neighbours with one label of TOGETHER are one entity. Offsets
+    are characters of the document, surrounding punctuation is left out."""
+    reader = reader or Reader()
+    starts, ends, owner, var, x, ties, chain, skip = reader.read(data, offsets)
+    if not len(var):
+        return []
+    p = infer(potentials(model, x, ties), owner[var], chain, skip, model["chain"], model["skip"])
+    best = p.argmax(1)
+    hits = np.flatnonzero((best > 0) & (p.max(1) >= least))
     if not len(hits):
         return []
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     out = []
-    for i in hits.tolist():
-        label, score = int(best[i]), float(p[i, best[i]])
-        if out and label == 2 and out[-1][5] == i - 1 and out[-1][3] == label and out[-1][0] == owner[i] and not data[starts[i]] == 43:
+    for j in hits.tolist():
+        i, label, score = int(var[j]), int(best[j]), float(p[j, best[j]])
+        if out and label in TOGETHER and out[-1][5] == i - 1 and out[-1][3] == label and out[-1][0] == owner[i] and not (label == PHONE and data[starts[i]] == 43) and not _closed(data, starts[i - 1], ends[i - 1], label):
             out[-1] = [owner[i], out[-1][1], int(ends[i]), label, min(score, out[-1][4]), i]
         else:
             out.append([owner[i], int(starts[i]), int(ends[i]), label, score, i])
     done = []
     for d, s, e, label, score, _ in out:
         raw = data[s:e].tobytes()
-        left = len(raw) - len(raw.lstrip(b"\"'([{<|*#$%&!,;:=" if label != 2 else b"\"'[{<|*#$%&!,;:="))
+        left = len(raw) - len(raw.lstrip(b"\"'([{<|*#$%&!,;:=" if label != PHONE else b"\"'[{<|*#$%&!,;:="))
         right = len(raw.rstrip(b"\"')]}>|*#$%&!,;:.?="))
         s, e = s + left, s + max(left + 1, right)
         done.append((int(d), int(chars[s] - chars[offsets[d]]), int(chars[min(e, len(data))] - chars[offsets[d]]), LABELS[label], round(score, 4)))
     return done
 
 
+def _closed(data, start, end, label) -> bool:
+    """Whether a token ends its entity: a comma or the like, or all figures of a card or account."""
+    if data[end - 1] in b",;!?" or data[end - 1] == 46 and label != NAME:
+        return True
+    return label == CARD and int(((data[start:end] >= 48) & (data[start:end] <= 57)).sum()) >= 13 or label == IBAN and end - start >= 15
+
+
 def _tag(shipped, least):
     def run(batches):
-        model = shipped.value
+        model, reader = shipped.value, Reader()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[a + d], *x) for a, _b, data, offsets in parts(batch.column("text")) for d, *x in entities(model, data, offsets, least)]
+            rows = [(ids[a + d], *x) for a, _b, data, offsets in parts(batch.column("text")) for d, *x in entities(model, data, offsets, least, reader)]
             if rows:
                 doc, s, e, label, score = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "start", "end", "label", "score"])

@@ -72,6 +72,12 @@ def pack_pair(high: Column, low: Column) -> Column:
     return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def pack_hit(doc_num: Column, norm_bits: Column) -> Column:
+    """A term's only posting (frequency 1, no locations) in one long; null where a part needs more than 31 bits."""
+    fits = (doc_num >= 0) & (doc_num < 1 << 31) & (norm_bits >= 0) & (norm_bits < 1 << 31)
+    return F.when(fits, F.shiftleft(norm_bits.cast("long"), 31).bitwiseOR(doc_num.cast("long")))
+
+
 def unpack_pair(code: Column) -> Column:
     return F.struct(F.shiftrightunsigned(code, 32).alias("high"), code.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
 

@@ -17,11 +17,11 @@ def field_names(segment: Segment) -> DataFrame:
 
 
 def stored_fields(segment: Segment, doc_num: int | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Stored values, the id first, then by field name; a document out of range has none."""
+    """Stored values; of one document in order, the id first, then by field name. A document out of range has none."""
     s = segment.stored
     s = s if doc_num is None else s.filter(F.col("doc_num") == doc_num)
     s = s if fields is None else s.filter(F.col("field").isin(fields))
-    return s.orderBy("doc_num", F.col("field") != ID, "field", "seq")
+    return s if doc_num is None else s.orderBy(F.col("field") != ID, "field", "seq")
 
 
 def doc_id(segment: Segment, docs: DataFrame | list[int]) -> DataFrame:
@@ -31,14 +31,23 @@ def doc_id(segment: Segment, docs: DataFrame | list[int]) -> DataFrame:
 
 
 def doc_values(segment: Segment, fields: list[str], docs: DataFrame | list[int] | None = None) -> DataFrame:
-    """(doc_num, field, term) of listed fields in dictionary order; unknown fields are skipped. Extra values
-    (encoded shapes, SURVEY A9) are left out: no mapping fills them."""
+    """(doc_num, field, term) of listed fields; unknown fields are skipped. See visit_doc_values for order and extras."""
     v = segment.doc_values.filter(F.col("field").isin(fields))
     if docs is not None:
         v = v.filter(F.col("doc_num").isin(docs)) if isinstance(docs, list) else v.join(docs.select("doc_num").distinct(), "doc_num", "left_semi")
     return v.select("doc_num", "field", F.explode("terms").alias("term"))
 
 
+def visit_doc_values(segment: Segment, fields: list[str], docs: DataFrame | list[int] | None = None) -> DataFrame:
+    """(doc_num, field, ord, value): each document's terms as bytes in dictionary order, its extra value (an encoded shape)
+    last."""
+    v = segment.doc_values.filter(F.col("field").isin(fields))
+    if docs is not None:
+        v = v.filter(F.col("doc_num").isin(docs)) if isinstance(docs, list) else v.join(docs.select("doc_num").distinct(), "doc_num", "left_semi")
+    terms = F.transform("terms", lambda t: t.cast("binary"))
+    return v.select("doc_num", "field", F.posexplode(F.when(F.col("extra").isNull(), terms).otherwise(F.concat(terms, F.array("extra")))).alias("ord", "value"))
+
+
 def doc_value_fields(segment: Segment) -> DataFrame:
     return segment.fields_meta.filter("doc_values").select("field")
 

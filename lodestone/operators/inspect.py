@@ -16,9 +16,21 @@ def footer(s: Segment) -> DataFrame:
     return s.spark.createDataFrame([(m.get("kind"), m.get("format"), m.get("num_docs"), m.get("hook") or None, m.get("path"))], "kind string, format int, num_docs long, hook string, path string")
 
 
+def sizes(s: Segment) -> DataFrame:
+    """(name, rows, bytes) of each table as it was written."""
+    return s.spark.read.parquet(f"{s.manifest['path']}/sizes")
+
+
+def checksum(s: Segment, name: str) -> DataFrame:
+    """(rows, crc): CRC-32 of each row of a table, combined whatever their order; equal before and after storage."""
+    t = s.table(name)
+    row = F.to_json(F.struct(*sorted(t.columns))).cast("binary")
+    return t.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.crc32(row)), F.lit(0)).alias("crc"))
+
+
 def fields(s: Segment) -> DataFrame:
     """(field, field_id, has_text, has_vector, has_synonym)"""
-    text = s.postings.select("field").distinct().withColumn("has_text", F.lit(True))
+    text = s.table("dictionary").select("field").distinct().withColumn("has_text", F.lit(True))
     vec = s.vectors.select("field").distinct().withColumn("has_vector", F.lit(True))
     syn = s.synonyms.select(F.col("thesaurus").alias("field")).distinct().withColumn("has_synonym", F.lit(True))
     both = documents.field_names(s).join(text, "field", "full").join(vec, "field", "full").join(syn, "field", "full")
@@ -27,8 +39,7 @@ def fields(s: Segment) -> DataFrame:
 
 def dictionary(s: Segment, field: str) -> DataFrame:
     """(term, cardinality, single): single marks terms of one document with frequency 1."""
-    p = s.postings.filter(F.col("field") == field)
-    return p.groupBy("term").agg(F.count("*").alias("cardinality"), ((F.count("*") == 1) & (F.max("freq") == 1)).alias("single"))
+    return s.table("dictionary").filter(F.col("field") == field).select("term", F.col("df").alias("cardinality"), "single")
 
 
 def term(s: Segment, field: str, word: str) -> DataFrame:

@@ -46,8 +46,10 @@ def in_range(start: str | None, end: str | None) -> Column:
 def dictionary(postings: DataFrame, field: str, start: str | None = None, end: str | None = None, prefix: str | None = None, regex: str | None = None, fuzzy: tuple[str, int] | None = None, predicate: Column | None = None) -> DataFrame:
     """Terms of a field with document frequency (deletions don't lower it): (term, df) and ``distance`` if fuzzy.
 
-    Bounds, prefix, whole-term regular expression, Levenshtein distance and any column predicate combine.
+    ``postings``: postings, or a segment's dictionary table, which is read by row groups of its terms. Bounds, prefix, whole-term regular expression, Levenshtein distance and any column predicate combine.
     """
+    if "df" not in postings.columns:  # a dictionary table has a row a term already
+        postings = postings.filter(F.col("field") == field).groupBy("field", "term").agg(F.count("*").alias("df"))
     t = postings.filter((F.col("field") == field) & in_range(start, end))
     if prefix is not None:
         t = t.filter(F.col("term").startswith(prefix))
@@ -56,10 +58,9 @@ def dictionary(postings: DataFrame, field: str, start: str | None = None, end: s
     if predicate is not None:
         t = t.filter(predicate)
     if fuzzy is None:
-        return t.groupBy("term").agg(F.count("*").alias("df"))
+        return t.select("term", "df")
     word, most = fuzzy
-    near = t.withColumn("distance", F.levenshtein("term", F.lit(word), most)).filter("distance >= 0")
-    return near.groupBy("term", "distance").agg(F.count("*").alias("df")).select("term", "df", "distance")
+    return t.select("term", "df", F.levenshtein("term", F.lit(word), most).alias("distance")).filter("distance >= 0")
 
 
 def contains(postings: DataFrame, field: str, terms: list[str]) -> DataFrame:
@@ -71,7 +72,9 @@ def contains(postings: DataFrame, field: str, terms: list[str]) -> DataFrame:
 
 
 def cardinality(postings: DataFrame) -> DataFrame:
-    """Distinct terms of each field."""
+    """Distinct terms of each field, of postings or a dictionary."""
+    if "df" in postings.columns:
+        return postings.groupBy("field").agg(F.count("*").alias("n_terms"))
     return postings.groupBy("field").agg(F.countDistinct("term").alias("n_terms"))
 
 

@@ -79,19 +79,19 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2"
     schema = "query_id long, vec_id long, doc_num long, score double"
     parts = None
     for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long"), "embedding").toArrow()
-        qid = own.column("query_id").to_numpy()
-        if not len(qid):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long"), "embedding").toArrow().combine_chunks()
+        if not len(own):
             continue
-        matrix = spark.sparkContext.broadcast((qid, np.array(own.column("embedding").to_pylist(), np.float64)))
+        asked = own.column("embedding").combine_chunks()
+        at, q = dense_rows(asked, max(0, pa.compute.max(pa.compute.list_value_length(asked)).as_py() or 0))
+        matrix = spark.sparkContext.broadcast((own.column("query_id").to_numpy()[at], q))
 
         def search(batches, matrix=matrix):
             qid, q = matrix.value
             for batch in batches:
-                rows = [i for i, v in enumerate(batch.column("embedding").to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not rows:
+                rows, x = dense_rows(batch.column("embedding"), q.shape[1])
+                if not len(rows) or not len(q):
                     continue
-                x = np.array([batch.column("embedding")[i].as_py() for i in rows], np.float64)
                 vec, doc = (np.asarray(batch.column(c))[rows] for c in ("vec_id", "doc_num"))
                 s = q @ x.T
                 if up:
@@ -127,12 +127,55 @@ def kmeans_centroids(vectors: DataFrame, k: int, seed: int = 1, iterations: int
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "centroid long, embedding array<double>")
 
 
-def assign(vectors: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
-    """Vectors with their nearest centroid: centroids, few by design (nlist), travel as one array in each row's task."""
-    c = centroids.select(F.col("centroid"), F.col("embedding").alias("center"))
-    all_centers = c.agg(F.array_sort(F.collect_list(F.struct("centroid", "center"))).alias("centers"))
-    ranked = F.transform("centers", lambda x: F.struct((scalars.score(metric, F.col("embedding"), x["center"]) * (1 if scalars.ascending(metric) else -1)).alias("d"), x["centroid"].alias("c")))
-    return vectors.crossJoin(F.broadcast(all_centers)).withColumn("centroid", F.array_min(ranked)["c"]).drop("centers")
+def assign(vectors: DataFrame, centroids: DataFrame, metric: str = "l2", block_bytes: int = 32 << 20) -> DataFrame:
+    """Vectors with their nearest centroid, the first of equally near ones; null without a vector of the centroids'
+    dimension. Centroids travel in measured blocks of at most ``block_bytes``, each one matrix product with a batch."""
+    dim = centroids.select(F.max(F.size("embedding"))).first()[0] or 1
+    total = centroids.count()
+    a_block = max(1, block_bytes // (8 * dim))
+    blocks = max(1, -(-total // a_block))
+    best = (vectors.drop("centroid") if "centroid" in vectors.columns else vectors).withColumns({"centroid": F.lit(None).cast("long"), "_least": F.lit(None).cast("double")})
+    up, context = scalars.ascending(metric), vectors.sparkSession.sparkContext
+    bounds = [r["centroid"] for r in centroids.select("centroid").orderBy("centroid").toLocalIterator()][::a_block] if blocks > 1 else []
+    for i in range(blocks):
+        own = centroids if blocks == 1 else centroids.filter((F.col("centroid") >= bounds[i]) & (F.lit(True) if i + 1 == blocks else F.col("centroid") < bounds[i + 1]))
+        rows = sorted((r["centroid"], r["embedding"]) for r in own.select("centroid", "embedding").collect())
+        if not rows:
+            continue
+        shipped = context.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+        best = best.mapInArrow(_nearest(shipped, up), best.schema)
+    return best.drop("_least")
+
+
+def _nearest(shipped, up):
+    def run(batches):
+        ids, centers = shipped.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, x = dense_rows(batch.column("embedding"), centers.shape[1])
+            found, least = batch.column("centroid").to_numpy(zero_copy_only=False).copy(), batch.column("_least").to_numpy(zero_copy_only=False).astype(np.float64)
+            before = np.where(np.isnan(least), np.inf, least)
+            chosen = np.array([None] * batch.num_rows, object) if found.dtype == object else np.array([None if f != f else int(f) for f in found.tolist()], object)
+            for lo in range(0, len(rows), 1024):
+                own, y = rows[lo : lo + 1024], x[lo : lo + 1024]
+                d = -2 * (y @ centers.T) + (centers**2).sum(1)[None] + (y**2).sum(1)[:, None] if up else -(y @ centers.T)
+                at = d.argmin(1)
+                score = d[np.arange(len(own)), at]
+                better = score < before[own]
+                chosen[own[better]] = ids[at[better]]
+                before[own[better]] = score[better]
+            out = {"centroid": pa.array(chosen.tolist(), pa.int64()), "_least": pa.array(np.where(np.isinf(before), np.nan, before), pa.float64(), from_pandas=True)}
+            yield pa.RecordBatch.from_arrays([out.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], schema=batch.schema)
+
+    return run
+
+
+def dense_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that hold ``dim`` values, and those as one matrix."""
+    right = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(column), dim), False)
+    rows = np.flatnonzero(right.to_numpy(zero_copy_only=False))
+    return rows, column.filter(right).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
 
 
 def centroid_cardinalities(assigned: DataFrame, limit: int | None = None, largest: bool = True) -> DataFrame:
@@ -163,13 +206,22 @@ def grown(current: int, total: int) -> int:
 
 
 def ivf_search(assigned: DataFrame, centroids: DataFrame, query: list[float], k: int, eligible: DataFrame | None = None, exclude: DataFrame | None = None, probes: int | None = None, metric: str = "l2") -> DataFrame:
-    """k nearest vectors among the visited clusters: (vec_id, doc_num, score). Stored partitioned by ``centroid``, the
-    semi-join on the plan prunes partitions."""
+    """k nearest vectors among the visited clusters: (vec_id, doc_num, score). For documents, see vector_index."""
     plan = probe_plan(assigned, centroids, query, k, eligible, probes, metric)
     near = assigned.join(F.broadcast(plan.select("centroid")), "centroid", "left_semi")  # at most nlist rows
     return nearest_vectors(scored(near, query, metric, exclude, eligible), k, metric)
 
 
+def by_number(hits: DataFrame) -> DataFrame:
+    """Hits in the order of document numbers, as a search returns them."""
+    return hits.orderBy("doc_num")
+
+
+def count_hits(hits: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """Documents among hits, without excluded ones: (n)."""
+    return without(hits, exclude).agg(F.countDistinct("doc_num").alias("n"))
+
+
 def binary_search(vectors: DataFrame, query: list[float], k: int, metric: str = "l2") -> DataFrame:
     """Candidates by sign bits (4 k of least Hamming distance, ties by vec_id), ranked again by exact score."""
     h = vectors.filter(F.size("embedding") == len(query)).withColumn("hamming", scalars.hamming(F.col("embedding"), vector(query)))

@@ -33,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# Segments over the tables ---------------------------------------------------------------------------------------
+# Segments over the tables
 
 TEXTS = Mapping("doc_id", (FieldSpec("text", "text"), FieldSpec("lang", "lang", "keyword", stored=True, doc_values=True, term_vectors=False), FieldSpec("source", "source", "keyword", stored=True, doc_values=True, term_vectors=False)))
 PARTS = Mapping(
@@ -48,18 +48,52 @@ ORDERS = Mapping(
 )
 
 
-def texts(spark, d, locations=False) -> Segment:
+def build_texts(spark, d, locations=True) -> Segment:
     return build_segment(table(spark, d, "documents").withColumn("doc_num", F.col("doc_id")), TEXTS, locations)
 
 
-def parts(spark, d, locations=True) -> Segment:
+def build_parts(spark, d, locations=True) -> Segment:
     return build_segment(table(spark, d, "part").withColumn("doc_num", F.col("p_partkey")), PARTS, locations)
 
 
-def words(spark, d) -> Segment:
+def build_words(spark, d) -> Segment:
     return build_segment(table(spark, d, "part").withColumn("doc_num", F.col("p_partkey")), WORDS)
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def stored_index(spark, d, name: str, make: Callable[[], Segment]) -> Segment:
+    """An index over a table: built and written once for each state of the table and application, then opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, d, make.__name__, status.getModificationTime(), status.getLen())
+    if key not in _INDEXES:
+        _INDEXES[key] = make().persist(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return open_segment(spark, _INDEXES[key])
+
+
+def texts(spark, d) -> Segment:
+    def documents_by_term():
+        return build_texts(spark, d)
+
+    return stored_index(spark, d, "documents", documents_by_term)
+
+
+def parts(spark, d) -> Segment:
+    def parts_by_term():
+        return build_parts(spark, d)
+
+    return stored_index(spark, d, "part", parts_by_term)
+
+
+def words(spark, d) -> Segment:
+    def parts_by_word():
+        return build_words(spark, d)
+
+    return stored_index(spark, d, "part", parts_by_word)
+
+
 def order_segments(spark, d) -> list[Segment]:
     """Orders as three segments by status."""
     o = table(spark, d, "orders")
@@ -100,7 +134,7 @@ def talks(spark, d) -> DataFrame:
     return nested.flatten(t.select(F.array("conv_id").alias("path")).distinct().unionByName(t.select(F.array("conv_id", "turn").alias("path")).distinct()))
 
 
-# SQL pieces -----------------------------------------------------------------------------------------------------
+# SQL pieces
 
 TOK = "(SELECT doc_id AS doc_num, unnest(string_split(text, ' ')) AS term, len(list_distinct(string_split(text, ' '))) AS field_len FROM documents)"
 NAMES = "(SELECT p_partkey AS doc_num, unnest(string_split(p_name, ' ')) AS term FROM part)"
@@ -154,7 +188,7 @@ o AS (SELECT centroid, distance, n, row_number() OVER w AS place, coalesce(sum(n
 pl AS (SELECT * FROM o WHERE before < 40 OR place <= 3)"""
 
 
-# Dictionary -----------------------------------------------------------------------------------------------------
+# Dictionary
 
 
 @query(f"SELECT doc_num, count(*) AS freq, {NORM} AS norm FROM {TOK} WHERE term = 'the' GROUP BY doc_num, field_len")
@@ -176,22 +210,22 @@ def posting_count_except(spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_num) AS df FROM {TOK} GROUP BY term")
 def dict_enumerate(spark, d):
-    return terms.dictionary(texts(spark, d).postings, "text")
+    return terms.dictionary(texts(spark, d).dictionary, "text")
 
 
 @query(f"SELECT term, count(DISTINCT doc_num) AS df FROM {TOK} WHERE starts_with(term, 'th') GROUP BY term")
 def dict_prefix(spark, d):
-    return terms.dictionary(texts(spark, d).postings, "text", prefix="th")
+    return terms.dictionary(texts(spark, d).dictionary, "text", prefix="th")
 
 
 @query(f"SELECT term, count(DISTINCT doc_num) AS df FROM {TOK} WHERE term >= 'on' AND term < 're' GROUP BY term")
 def dict_range(spark, d):
-    return terms.dictionary(texts(spark, d).postings, "text", "on", "re")
+    return terms.dictionary(texts(spark, d).dictionary, "text", "on", "re")
 
 
 @query(f"SELECT term, count(DISTINCT doc_num) AS df FROM {TOK} WHERE term >= 'é' GROUP BY term")
 def dict_range_open(spark, d):
-    return terms.dictionary(texts(spark, d).postings, "text", "é")
+    return terms.dictionary(texts(spark, d).dictionary, "text", "é")
 
 
 def _fuzzy(n):
@@ -200,32 +234,32 @@ def _fuzzy(n):
 
 @query(_fuzzy(1))
 def dict_fuzzy1(spark, d):
-    return terms.dictionary(parts(spark, d, False).postings, "name", fuzzy=("ring", 1))
+    return terms.dictionary(parts(spark, d).dictionary, "name", fuzzy=("ring", 1))
 
 
 @query(_fuzzy(2))
 def dict_fuzzy2(spark, d):
-    return terms.dictionary(parts(spark, d, False).postings, "name", fuzzy=("ring", 2))
+    return terms.dictionary(parts(spark, d).dictionary, "name", fuzzy=("ring", 2))
 
 
 @query(_fuzzy(3))
 def dict_fuzzy3(spark, d):
-    return terms.dictionary(parts(spark, d, False).postings, "name", fuzzy=("ring", 3))
+    return terms.dictionary(parts(spark, d).dictionary, "name", fuzzy=("ring", 3))
 
 
 @query(f"SELECT term, count(DISTINCT doc_num) AS df FROM {TOK} WHERE regexp_full_match(term, '[a-m]+(ing|tion)') AND term >= 'b' GROUP BY term")
 def dict_regex(spark, d):
-    return terms.dictionary(texts(spark, d).postings, "text", start="b", regex="[a-m]+(ing|tion)")
+    return terms.dictionary(texts(spark, d).dictionary, "text", start="b", regex="[a-m]+(ing|tion)")
 
 
 @query(f"SELECT 'text' AS field, count(DISTINCT term) AS n_terms FROM {TOK} UNION ALL SELECT 'lang', count(DISTINCT lang) FROM documents UNION ALL SELECT 'source', count(DISTINCT source) FROM documents UNION ALL SELECT '_id', count(*) FROM documents")
 def dict_cardinality(spark, d):
-    return terms.cardinality(texts(spark, d).postings)
+    return terms.cardinality(texts(spark, d).dictionary)
 
 
 @query(f"SELECT term, count(DISTINCT doc_num) AS df FROM {TOK} WHERE term IN ('the', 'und', 'que') GROUP BY term")
 def term_df(spark, d):
-    return terms.dictionary(texts(spark, d).postings, "text", predicate=F.col("term").isin("the", "und", "que"))
+    return terms.dictionary(texts(spark, d).dictionary, "text", predicate=F.col("term").isin("the", "und", "que"))
 
 
 @query(f"SELECT t AS term, t IN (SELECT term FROM {TOK}) AS present FROM (VALUES ('the'), ('no such term'), ('und')) v(t)")
@@ -241,14 +275,14 @@ def dict_merge_ordered(spark, d):
     return terms.merged_terms(*halves).orderBy("field", "term", "source")
 
 
-# Postings -------------------------------------------------------------------------------------------------------
+# Postings
 
 
 @query("""WITH s AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM s),
 p AS (SELECT doc_id AS doc_num, w[pos] AS term, pos, sum(strlen(w[pos]) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - strlen(w[pos]) - 1 AS start FROM t)
 SELECT doc_num, pos, CAST(start AS BIGINT) AS start, CAST(start + strlen(term) AS BIGINT) AS "end" FROM p WHERE term = 'und'""")
 def postings_locations(spark, d):
-    p = terms.postings_list(texts(spark, d, True).postings, "text", "und", freq=False, norms=False, locations=True)
+    p = terms.postings_list(texts(spark, d).postings, "text", "und", freq=False, norms=False, locations=True)
     return p.select("doc_num", F.explode("locations").alias("l")).select("doc_num", "l.pos", "l.start", "l.end")
 
 
@@ -288,12 +322,12 @@ def composite_all(spark, d):
 
 @query(f"SELECT doc_num, any_value({NORM}) AS norm FROM {ALL} GROUP BY doc_num")
 def norms(spark, d):
-    return parts(spark, d, False).postings.filter("field = '_all'").groupBy("doc_num").agg(F.max(scalars.norm(F.col("field_len"))).alias("norm"))
+    return parts(spark, d).postings.filter("field = '_all'").groupBy("doc_num").agg(F.max(scalars.norm(F.col("field_len"))).alias("norm"))
 
 
 @query(f"SELECT term, doc_num, count(*) AS freq FROM {TOK} GROUP BY term, doc_num")
 def postings_build(spark, d):
-    return texts(spark, d).postings.filter("field = 'text'").select("term", "doc_num", "freq")
+    return build_texts(spark, d, False).postings.filter("field = 'text'").select("term", "doc_num", "freq")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS doc_num FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -304,7 +338,7 @@ def doc_numbers(spark, d):
     return terms.doc_numbers(s.postings, ids)
 
 
-# Documents ------------------------------------------------------------------------------------------------------
+# Documents
 
 
 @query("SELECT doc_id AS doc_num, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -356,7 +390,7 @@ def field_options_and(spark, d):
     return documents.options_and(*_two_metas(spark, d))
 
 
-# Merge ----------------------------------------------------------------------------------------------------------
+# Merge
 
 
 @query(f"WITH {ORD} SELECT count(*) AS n FROM m WHERE kept")
@@ -408,12 +442,12 @@ def merge_deleted_field(spark, d):
 @query("SELECT CAST(0 AS BIGINT) AS n")
 def merge_self_invariant(spark, d):
     """Postings that a segment and its merge with nothing don't share."""
-    s = parts(spark, d, False)
+    s = parts(spark, d)
     a, b = (x.postings.select("field", "term", "doc_num", "freq", "field_len") for x in (s, merge.merge([s])[0]))
     return a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("n"))
 
 
-# Trees ----------------------------------------------------------------------------------------------------------
+# Trees
 
 
 @query(f"WITH {TREE} SELECT doc_num, kind, parent, root_num FROM t")
@@ -464,7 +498,7 @@ def nested_merge_edges(spark, d):
     return merge.merge([s], [n.filter(F.get("path", F.lit(1)) == 0).select("doc_num")])[0].edges
 
 
-# Vectors --------------------------------------------------------------------------------------------------------
+# Vectors
 
 
 @query(f"WITH {sql_hits()}, {sql_raw(10)}")
@@ -532,8 +566,8 @@ def _good(spark, d):
 
 
 def _clustered(spark, d):
-    e = embeddings(spark, d)
-    c = vectors.mean_centroids(e, "label")
+    e = embeddings(spark, d).drop("label")
+    c = vectors.mean_centroids(embeddings(spark, d), "label")
     return vectors.assign(e, c), c
 
 
@@ -598,7 +632,7 @@ def rabitq_search(spark, d):
     return rounded(vectors.rabitq_search(a, c, asked(spark, d), 10))
 
 
-# Synonyms -------------------------------------------------------------------------------------------------------
+# Synonyms
 
 PAIRS = "(SELECT DISTINCT p_partkey AS doc_num, a AS term, b AS synonym FROM (SELECT p_partkey, w, unnest(w) AS a FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)), unnest(w) AS u(b) WHERE a <> b)"
 
@@ -631,7 +665,7 @@ def synonyms_merge(spark, d):
     return merge.merge(s)[0].synonyms.filter("thesaurus = 'brands'").select("term", "synonym", "doc_num")
 
 
-# Inspection, storage, streaming ---------------------------------------------------------------------------------
+# Inspection, storage, streaming
 
 
 @query(f"SELECT term, count(*) AS cardinality, count(*) = 1 AND max(freq) = 1 AS single FROM (SELECT term, doc_num, count(*) AS freq FROM {TOK} GROUP BY ALL) GROUP BY term")
@@ -641,7 +675,7 @@ def inspect_dict(spark, d):
 
 @query("SELECT * FROM (VALUES ('_id', CAST(0 AS INTEGER), true, false, false), ('_all', 1, true, false, false), ('brand', 2, true, false, false), ('name', 3, true, false, false), ('type', 4, true, false, false)) v(field, field_id, has_text, has_vector, has_synonym)")
 def inspect_fields(spark, d):
-    return inspect.fields(parts(spark, d, False))
+    return inspect.fields(parts(spark, d))
 
 
 @query("SELECT a.term, count(DISTINCT synonym) AS n_synonyms, count(DISTINCT doc_num) AS n_docs FROM " + PAIRS + " a GROUP BY a.term")
@@ -658,7 +692,7 @@ def inspect_docvalue(spark, d):
 def encrypted_roundtrip(spark, d):
     """Stored values encrypted on disk, read back through the hook."""
     hook = aes_hook("demo", "000102030405060708090a0b0c0d0e0f")
-    path = parts(spark, d).persist(f"{shared_folder(spark)}/encrypted-{uuid.uuid4().hex}", hook)
+    path = build_parts(spark, d).persist(f"{shared_folder(spark)}/encrypted-{uuid.uuid4().hex}", hook)
     s = open_segment(spark, path, {"demo": hook})
     return documents.stored_fields(s, fields=["name"]).select("doc_num", F.col("value").cast("string").alias("value"))
 
@@ -666,8 +700,7 @@ def encrypted_roundtrip(spark, d):
 @query(f"SELECT doc_num, count(*) AS freq, {NORM} AS norm FROM (SELECT p_partkey AS doc_num, unnest(string_split(p_name, ' ')) AS term, len(list_distinct(string_split(p_name, ' '))) AS field_len FROM part) WHERE term = 'small' GROUP BY doc_num, field_len")
 def persisted_lookup(spark, d):
     """A term of a segment that was written and opened again."""
-    path = parts(spark, d).persist(f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}")
-    return terms.postings_list(open_segment(spark, path).postings, "name", "small")
+    return terms.postings_list(parts(spark, d).postings, "name", "small")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")

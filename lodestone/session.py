@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,9 +20,11 @@ def session(master: str | None = None, app: str = "lodestone", **conf) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is named (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where none is named and the master is local (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")

@@ -26,9 +26,13 @@ class FieldSpec:
     term_vectors: bool = True
     similarity: str = "l2"
     typ: str = "t"
+    extra: str | None = None  # an expression for bytes that doc values keep beside the terms (an encoded shape)
+    optimise: str = "recall"  # what a vector index is chosen for, see scalars.choose_index
 
     def __post_init__(self):
-        if self.kind not in ("text", "keyword", "vector", "synonym"):
+        from lodestone.operators.sections import kinds
+
+        if self.kind not in kinds():
             raise ValueError(f"unknown kind {self.kind!r} of field {self.name!r}")
 
 
@@ -38,10 +42,15 @@ class Mapping:
     fields: tuple[FieldSpec, ...]
     composites: dict[str, tuple[str, ...]] = field(default_factory=dict)  # name -> source fields, all texts if empty
     parent_expr: str | None = None
+    path_expr: str | None = None  # array of keys from the root on: rows are flattened to trees, which numbers them
 
     @property
     def texts(self) -> tuple[FieldSpec, ...]:
         return tuple(f for f in self.fields if f.kind in ("text", "keyword"))
 
+    def claimed(self, kinds: tuple[str, ...]) -> bool:
+        """Whether a section for these kinds has anything to do; every document has an id, a keyword."""
+        return "keyword" in kinds or any(f.kind in kinds for f in self.fields)
+
     def of(self, kind: str) -> tuple[FieldSpec, ...]:
         return tuple(f for f in self.fields if f.kind == kind)

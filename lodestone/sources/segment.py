@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,33 +21,65 @@ SCHEMAS = {
     "postings": "field string, term string, doc_num long, freq long, field_len long, locations array<struct<field:string,pos:bigint,start:bigint,end:bigint,array_pos:array<bigint>>>",
     "doc_values": "doc_num long, field string, terms array<string>, extra binary",
     "stored": "doc_num long, field string, seq int, typ string, value binary, array_pos array<long>",
-    "vectors": "field string, vec_id long, doc_num long, embedding array<float>",
+    "vectors": "field string, vec_id long, doc_num long, embedding array<float>, centroid long, codes array<int>",
+    "centroids": "field string, centroid long, embedding array<double>",
+    "vector_meta": "field string, kind string, metric string, optimise string, n long, dim int, lows array<double>, steps array<double>",
     "synonyms": "thesaurus string, term string, synonym string, doc_num long",
+    "dictionary": "field string, term string, df long, single boolean",
+    "updates": "field string, deleted boolean, no_index boolean, no_store boolean, no_doc_values boolean",
 }
+PARTITIONS = {"vectors": ["field", "centroid"]}
+CLEAR = ("field", "thesaurus", "doc_num", "centroid")  # columns that a hook leaves alone, so that files can be pruned by them
+IN_CLEAR = ("fields_meta", "vector_meta", "updates")
+VECTOR_BITS = 20  # of a vec_id, for the ordinal within a document
 
 
 @dataclass
 class Hook:
-    """Transforms stored values on their way to and from storage; its id goes into the manifest."""
+    """Transforms the payload of all tables on its way to and from storage; its id goes into the manifest. ``write`` and
+    ``read`` take the bytes and the secret, a column that comes from a table of one row: no plan or log shows it."""
 
     id: str
-    write: Callable[[Column], Column]
-    read: Callable[[Column], Column]
+    write: Callable[[Column, Column], Column]
+    read: Callable[[Column, Column], Column]
+    secret: bytes = b""
+
+    def _with_secret(self, df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(bytearray(self.secret),)], "_secret binary")))
+
+    def seal(self, df: DataFrame) -> DataFrame:
+        """Columns beyond CLEAR as one sealed column."""
+        clear = [c for c in df.columns if c in CLEAR]
+        payload = F.to_json(F.struct(*[F.col(c) for c in df.columns if c not in CLEAR])).cast("binary")
+        return self._with_secret(df).select(*clear, self.write(payload, F.col("_secret")).alias("payload"))
+
+    def unseal(self, df: DataFrame, schema: str) -> DataFrame:
+        from pyspark.sql.types import StructType
+
+        every = StructType.fromDDL(schema)
+        inner = StructType([f for f in every.fields if f.name not in CLEAR])
+        opened = self._with_secret(df).withColumn("payload", F.from_json(self.read(F.col("payload"), F.col("_secret")).cast("string"), inner))
+        return opened.select(*[F.col(f.name) if f.name in CLEAR else F.col(f"payload.{f.name}") for f in every.fields])
 
 
 def aes_hook(hook_id: str, key: str) -> Hook:
     """AES-GCM with a 16, 24 or 32 byte key given in hexadecimal."""
-    secret = F.unhex(F.lit(key))
-    return Hook(hook_id, lambda c: F.aes_encrypt(c, secret, F.lit("GCM")), lambda c: F.aes_decrypt(c, secret, F.lit("GCM")))
+    return Hook(hook_id, lambda c, k: F.aes_encrypt(c, k, F.lit("GCM")), lambda c, k: F.aes_decrypt(c, k, F.lit("GCM")), bytes.fromhex(key))
 
 
 class Segment:
-    """Lazy tables named as in SCHEMAS. ``tables`` may hold any subset; absent ones are empty."""
+    """Lazy tables named as in SCHEMAS. ``tables`` may hold any subset; absent ones are empty. ``shared``: what several
+    tables are made of, kept while they are written."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], manifest: dict | None = None):
-        self.spark, self._tables, self.manifest = spark, tables, manifest or {}
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], manifest: dict | None = None, shared: tuple[DataFrame, ...] = ()):
+        self.spark, self._tables, self.manifest, self.shared = spark, tables, manifest or {}, shared
+
+    def has(self, name: str) -> bool:
+        return name in self._tables
 
     def table(self, name: str) -> DataFrame:
+        if name == "dictionary" and not self.has(name) and self.has("postings"):
+            return entries(self.postings)
         return self._tables[name] if name in self._tables else self.spark.createDataFrame([], SCHEMAS[name])
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -54,34 +87,40 @@ class Segment:
             return self.table(name)
         raise AttributeError(name)
 
+    def replace(self, **tables: DataFrame) -> Segment:
+        return Segment(self.spark, self._tables | tables, self.manifest, self.shared)
+
     @property
     def edges(self) -> DataFrame:
         return self.docs.filter("parent is not null").select(F.col("doc_num").alias("child"), "parent")
 
     def persist(self, path: str, hook: Hook | None = None, overwrite: bool = False) -> str:
-        """Write all tables beside the target, then rename: a failed write leaves no segment. Postings are ranged and
-        sorted by (field, term, doc_num), so term lookups prune row groups."""
+        """Write all tables beside the target, then swap by renaming: a failed write or swap leaves what was there.
+
+        Postings and dictionary are ranged and sorted by (field, term), so lookups prune row groups; vectors lie in a
+        folder for each field and centroid. The table ``sizes`` tells rows and bytes of each."""
         fs = _filesystem(self.spark, path)
         target, temp = _path(self.spark, path), f"{path}.{uuid.uuid4().hex}.tmp"
         if fs.exists(target) and not overwrite:
             raise FileExistsError(path)
+        kept = [df.persist(StorageLevel.DISK_ONLY) for df in self.shared]
         try:
+            counts = []
             for name in SCHEMAS:
-                df = self.table(name)
-                if name == "stored" and hook:
-                    df = df.withColumn("value", hook.write(F.col("value")))
-                if name == "postings":
-                    df = df.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_num")
-                df.write.parquet(f"{temp}/{name}")
-            count = self.docs.count()
-            self.spark.createDataFrame([(KIND, FORMAT, count, hook.id if hook else "")], "kind string, format int, num_docs long, hook string").coalesce(1).write.parquet(f"{temp}/manifest")
-            if fs.exists(target):
-                fs.delete(target, True)
-            if not fs.rename(_path(self.spark, temp), target):
-                raise OSError(f"could not move {temp} to {path}")
+                if not (self.has(name) or name in ("docs", "dictionary")):
+                    continue
+                df = entries(self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{temp}/postings")) if name == "dictionary" and not hook and self.has("postings") else self.table(name)
+                counts.append((name, *_written(df, name, f"{temp}/{name}", hook)))
+            n_docs = next(rows for name, rows, *_ in counts if name == "docs")
+            self.spark.createDataFrame(counts, "name string, rows long, bytes long").coalesce(1).write.parquet(f"{temp}/sizes")
+            self.spark.createDataFrame([(KIND, FORMAT, n_docs, hook.id if hook else "")], "kind string, format int, num_docs long, hook string").coalesce(1).write.parquet(f"{temp}/manifest")
+            _swap(fs, _path(self.spark, temp), target, _path(self.spark, f"{path}.{uuid.uuid4().hex}.old"))
         except BaseException:
             fs.delete(_path(self.spark, temp), True)
             raise
+        finally:
+            for df in kept:
+                df.unpersist()
         return path
 
     def cache(self) -> Segment:
@@ -92,6 +131,40 @@ class Segment:
             df.unpersist()
 
 
+def entries(postings: DataFrame) -> DataFrame:
+    """The dictionary: (field, term, df, single); single marks terms of one document with frequency 1."""
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"), ((F.count("*") == 1) & (F.max("freq") == 1)).alias("single"))
+
+
+def _written(df: DataFrame, name: str, path: str, hook: Hook | None) -> tuple[int, int]:
+    """Write a table; its rows, from the footers, and bytes."""
+    if hook and name not in IN_CLEAR:
+        df = hook.seal(df)
+    if "term" in df.columns and "field" in df.columns:
+        order = ["field", "term", *(["doc_num"] if "doc_num" in df.columns else [])]
+        df = df.repartitionByRange("field", "term").sortWithinPartitions(*order)
+    schema = df.schema
+    (df.write.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else df.write).parquet(path)
+    spark = df.sparkSession
+    return spark.read.schema(schema).parquet(path).count(), _filesystem(spark, path).getContentSummary(_path(spark, path)).getLength()
+
+
+def _swap(fs, new, target, aside) -> None:
+    """Put ``new`` in the place of ``target``. If that fails, what was there is put back."""
+    old = fs.exists(target)
+    if old and not fs.rename(target, aside):
+        raise OSError(f"could not move {target} aside")
+    try:
+        if not fs.rename(new, target):
+            raise OSError(f"could not move {new} to {target}")
+    except BaseException:
+        if old:
+            fs.rename(aside, target)
+        raise
+    if old:
+        fs.delete(aside, True)
+
+
 def _path(spark, path):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -105,15 +178,29 @@ def open_segment(spark: SparkSession, path: str, hooks: dict[str, Hook] | None =
     m = spark.read.parquet(f"{path}/manifest").first().asDict()
     if m["kind"] != KIND or m["format"] != FORMAT:
         raise ValueError(f"{path} has format {m['kind']} {m['format']}, not {KIND} {FORMAT}")
-    tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()}
-    if m["hook"]:
-        hook = (hooks or {}).get(m["hook"])
-        if hook is None:
-            raise ValueError(f"{path} was written with the unknown hook {m['hook']!r}")
-        tables["stored"] = tables["stored"].withColumn("value", hook.read(F.col("value")))
+    hook = (hooks or {}).get(m["hook"])
+    if m["hook"] and hook is None:
+        raise ValueError(f"{path} was written with the unknown hook {m['hook']!r}")
+    fs, tables = _filesystem(spark, path), {}
+    for name, schema in SCHEMAS.items():
+        if fs.exists(_path(spark, f"{path}/{name}")):
+            sealed = hook and name not in IN_CLEAR
+            t = spark.read.schema(_sealed(schema) if sealed else schema).parquet(f"{path}/{name}")
+            tables[name] = hook.unseal(t, schema) if sealed else t
     return Segment(spark, tables, m | {"path": path})
 
 
+def _sealed(schema: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields if f.name in CLEAR] + ["payload binary"])
+
+
+def rewrite(spark: SparkSession, path: str, target: str, hooks: dict[str, Hook] | None = None, hook: Hook | None = None) -> str:
+    """Write a segment again through another hook, or none."""
+    return open_segment(spark, path, hooks).persist(target, hook)
+
+
 def _instances(spec: FieldSpec, is_array: bool, src: str) -> Column:
     value = F.expr(spec.expr)
     one = lambda v, at: F.struct(F.lit(src).alias("src"), v.cast("string").alias("value"), at.alias("array_pos"), F.lit(spec.kind == "keyword").alias("keyword"))
@@ -141,6 +228,10 @@ class Builder:
         rows = self.rows
         for check in self.checks:
             rows = check(rows)
+        if self.mapping.path_expr:
+            from lodestone.operators.nested import flatten
+
+            return flatten(rows.withColumn("path", F.expr(self.mapping.path_expr)))
         return rows
 
     @cached_property
@@ -157,17 +248,18 @@ class Builder:
         columns, structs = {}, []
         for name, members in made.items():
             inst = members[0][1] if len(members) == 1 else F.concat(*[x for _, x in members])
-            columns[name] = (inst, {flag: any(getattr(f, flag) for f, _ in members) for flag in FLAGS})
+            extra = F.coalesce(*[F.expr(f.extra).cast("binary") for f, _ in members if f.extra], F.lit(None).cast("binary"))
+            columns[name] = (inst, {flag: any(getattr(f, flag) for f, _ in members) for flag in FLAGS}, extra)
         for name, sources in self.mapping.composites.items():
             chosen = sources or tuple(n for n in made if n != ID)
-            columns[name] = (F.concat(*[columns[n][0] for n in chosen]), {"indexed": True, "stored": False, "doc_values": False, "term_vectors": True})
-        for name, (inst, flags) in columns.items():
-            structs.append(F.struct(F.lit(name).alias("field"), inst.alias("inst"), *[F.lit(v).alias(k) for k, v in flags.items()]))
+            columns[name] = (F.concat(*[columns[n][0] for n in chosen]), {"indexed": True, "stored": False, "doc_values": False, "term_vectors": True}, F.lit(None).cast("binary"))
+        for name, (inst, flags, extra) in columns.items():
+            structs.append(F.struct(F.lit(name).alias("field"), inst.alias("inst"), extra.alias("extra"), *[F.lit(v).alias(k) for k, v in flags.items()]))
         wide = rows.select("doc_num", F.explode(F.array(*structs)).alias("f")).select("doc_num", "f.*").filter(F.size("inst") > 0)
-        return wide.select("doc_num", "field", _length(F.col("inst")).alias("field_len"), "inst", *FLAGS)
+        return wide.select("doc_num", "field", _length(F.col("inst")).alias("field_len"), "inst", "extra", *FLAGS)
 
     def docs(self) -> DataFrame:
-        parent = F.expr(self.mapping.parent_expr) if self.mapping.parent_expr else F.lit(None)
+        parent = F.expr(self.mapping.parent_expr) if self.mapping.parent_expr else F.col("parent") if self.mapping.path_expr else F.lit(None)
         return self.source.select("doc_num", F.expr(self.mapping.id_expr).cast("string").alias("id"), parent.cast("long").alias("parent"))
 
     def fields_meta(self) -> DataFrame:
@@ -190,7 +282,7 @@ class Builder:
     def doc_values(self) -> DataFrame:
         """Sorted distinct terms of each (document, field), within the row."""
         each = F.transform("inst", lambda x: F.when(x["keyword"], F.array(x["value"])).otherwise(tokens(x["value"])))
-        return self.per_field.filter("doc_values").select("doc_num", "field", F.array_sort(F.array_distinct(F.flatten(each))).alias("terms"), F.lit(None).cast("binary").alias("extra"))
+        return self.per_field.filter("doc_values").select("doc_num", "field", F.array_sort(F.array_distinct(F.flatten(each))).alias("terms"), "extra")
 
     def stored(self) -> DataFrame:
         types = F.create_map(*[F.lit(x) for f in (*self.mapping.texts, FieldSpec(ID, ID)) for x in (f.name, f.typ)])
@@ -204,7 +296,7 @@ class Builder:
             v = self.source.select("doc_num", F.expr(f.expr).alias("v")).filter("v is not null")
             nested = dict(v.dtypes)["v"].startswith("array<array")
             e = v.select("doc_num", F.posexplode("v" if nested else F.array("v")).alias("at", "embedding")).filter(F.size("embedding") > 0)
-            parts.append(e.select(F.lit(f.name).alias("field"), (F.shiftleft(F.col("doc_num"), 20) + F.col("at")).alias("vec_id"), "doc_num", F.col("embedding").cast("array<float>").alias("embedding")))
+            parts.append(e.select(F.lit(f.name).alias("field"), vec_ids(F.col("doc_num"), F.col("at")).alias("vec_id"), "doc_num", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("long").alias("centroid"), F.lit(None).cast("array<int>").alias("codes")))
         return _union(parts)
 
     def synonyms(self) -> DataFrame | None:
@@ -219,9 +311,22 @@ class Builder:
         return _union(parts)
 
     def segment(self, locations: bool = True) -> Segment:
-        tables = {"docs": self.docs(), "fields_meta": self.fields_meta(), "postings": self.postings() if locations else self.terms().withColumn("locations", F.lit(None)), "doc_values": self.doc_values(), "stored": self.stored()}
-        tables |= {k: v for k, v in (("vectors", self.vectors()), ("synonyms", self.synonyms())) if v is not None}
-        return Segment(self.source.sparkSession, tables)
+        """All tables that the registered sections build."""
+        from lodestone.operators.sections import REGISTRY
+
+        tables = {"docs": self.docs(), "fields_meta": self.fields_meta()}
+        for name, section in REGISTRY.items():
+            if self.mapping.claimed(section.claims):
+                made = self.terms().withColumn("locations", F.lit(None)) if name == "postings" and not locations else section.build(self)
+                if made is not None:
+                    tables[name] = made
+        return Segment(self.source.sparkSession, tables, shared=(self.per_field,))
+
+
+def vec_ids(doc_num: Column, ordinal: Column) -> Column:
+    """Ids in the order of (doc_num, ordinal); more than 2**20 vectors of a document are refused."""
+    fits = F.when(ordinal < (1 << VECTOR_BITS), ordinal).otherwise(F.raise_error(F.lit("a document has more than 2**20 vectors")).cast("int"))
+    return F.shiftleft(doc_num, VECTOR_BITS) + fits
 
 
 def _union(parts):

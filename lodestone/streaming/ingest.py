@@ -17,10 +17,10 @@ def segment_name(batch: int) -> str:
 
 def ingest(stream: DataFrame, mapping: Mapping, path: str, checkpoint: str, version: str, trigger: dict | None = None) -> StreamingQuery:
     """Write a segment for each micro-batch under ``path``. Of an id's rows in a batch the one with the largest
-    ``version`` is kept. A batch that is tried again overwrites its segment, so each counts once."""
+    ``version`` is kept, of equal ones that with the largest hash of all its columns. A batch that is tried again overwrites its segment, so each counts once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = Window.partitionBy(F.expr(mapping.id_expr)).orderBy(F.col(version).desc())
+        newest = Window.partitionBy(F.expr(mapping.id_expr)).orderBy(F.col(version).desc(), F.xxhash64(*[F.to_json(F.struct(c)) for c in batch.columns]).desc())
         rows = batch.withColumn("_newest", F.row_number().over(newest)).filter("_newest = 1").drop("_newest")
         if not rows.isEmpty():
             build_segment(number(rows, version), mapping).persist(f"{path}/{segment_name(batch_id)}", overwrite=True)

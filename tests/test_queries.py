@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from lodestone.plans import index_queries  # noqa: F401
 from lodestone.plans.queries import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

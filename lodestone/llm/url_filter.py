@@ -35,8 +35,11 @@ def expressions(u: Column) -> Column:
 
 
 def digests(rules: DataFrame) -> DataFrame:
-    """Rules (expr, action) as (prefix, digest, action); the same expression twice: 'allow' holds."""
-    known = rules.filter("expr is not null and action is not null").groupBy("expr").agg(F.min("action").alias("action"))
+    """Rules (expr, action) as (prefix, digest, rule, action), in the canonical form of URLs: "Example.com" is
+    "example.com/". Null and hostless rules say nothing; of one that is there twice 'allow' holds. Percent-encoded
+    characters are compared as they are written, on both sides."""
+    told = rules.filter("expr is not null and action is not null").select(canonical(F.col("expr")).alias("u"), "action").filter("u.host <> ''")
+    known = told.groupBy(F.concat("u.host", "u.path", "u.query").alias("expr")).agg(F.min("action").alias("action"))
     digest = F.sha2("expr", 256)
     return known.select(F.substring(digest, 1, PREFIX_DIGITS).alias("prefix"), digest.alias("digest"), F.col("expr").alias("rule"), "action")
 

@@ -51,3 +51,11 @@ def test_made_rules_against_brute_force(spark):
 def test_expressions(spark):
     row = spark.createDataFrame([("http://a.b.c/1/2.html?p=q",)], "url string").select(expressions(canonical(F.col("url"))).alias("e")).first()
     assert {x.expr for x in row.e} == {h + p for h in ("a.b.c", "b.c") for p in ("/1/2.html?p=q", "/1/2.html", "/1/", "/")}
+
+
+def test_rules_are_canonical(spark):
+    """Rules match however their host is written."""
+    pages = spark.createDataFrame([(1, "http://example.com/a/b"), (2, "https://u@EXAMPLE.com:80/x//y"), (3, "http://other.org/")], "page_id long, url string")
+    rules = spark.createDataFrame([("Example.com", "block"), ("HTTP://example.com/x//", "allow"), ("", "block"), (None, "block"), ("/only/path", "block")], "expr string, action string")
+    got = {r.page_id: (r.action, r.rule) for r in filter_urls(pages, rules).collect()}
+    assert got == {1: ("block", "example.com/"), 2: ("allow", "example.com/x/"), 3: ("allow", None)}

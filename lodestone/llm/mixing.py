@@ -62,6 +62,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     (budget: by default all tokens), and lies in the block that this position falls in when quota and budget are
     cut into blocks of about ``block_tokens``. Blocks thus all have the target mixture; ``slot`` permutes a block.
 
+    If no exponent keeps a source to ``repeats`` uses (a budget of more than so many times all tokens), the shares are
+    those of the tokens themselves and the limit is exceeded by all sources alike.
+
     Positions come from sums by hash bucket, so that no source, however hot, is sorted by one task.
 
     Null or blank text has no tokens and is left out, as are null ids; a null source is the source "". Repeated rows

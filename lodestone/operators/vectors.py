@@ -66,17 +66,20 @@ def roll_up(hits: DataFrame, nodes: DataFrame, metric: str = "l2") -> DataFrame:
     return hits.join(nodes.select("doc_num", "root_num"), "doc_num").groupBy("root_num").agg(_best(metric).alias("score"))
 
 
-def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block_bytes: int = 64 << 20) -> DataFrame:
+def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, vec_id, doc_num, score, rank) for a table (query_id, embedding) of queries.
 
     Queries are small or not: they are cut into blocks of at most ``block_bytes``; each block meets every partition of
-    the vectors in one matrix product, and only the k best of a partition and query are shuffled.
+    the vectors by tiles of at most TILE scores, and only the k best of a partition and query are shuffled. Tiles are
+    products in single precision, whose error is bounded; what they leave in doubt is scored in double precision, value
+    after value, so equal vectors have equal scores. The work is that of all pairs.
     """
     spark = vectors.sparkSession
     sizes = queries.agg(F.sum(F.size("embedding")).alias("n"), F.count("*").alias("rows")).first()
     blocks = max(1, -(-int(sizes["n"] or 0) * 8 // block_bytes))
     up = scalars.ascending(metric)
     schema = "query_id long, vec_id long, doc_num long, score double"
+    against = vectors.select(F.col("vec_id").cast("long"), F.col("doc_num").cast("long"), "embedding")
     parts = None
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long"), "embedding").toArrow().combine_chunks()
@@ -84,26 +87,8 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2"
             continue
         asked = own.column("embedding").combine_chunks()
         at, q = dense_rows(asked, max(0, pa.compute.max(pa.compute.list_value_length(asked)).as_py() or 0))
-        matrix = spark.sparkContext.broadcast((own.column("query_id").to_numpy()[at], q))
-
-        def search(batches, matrix=matrix):
-            qid, q = matrix.value
-            for batch in batches:
-                rows, x = dense_rows(batch.column("embedding"), q.shape[1])
-                if not len(rows) or not len(q):
-                    continue
-                vec, doc = (np.asarray(batch.column(c))[rows] for c in ("vec_id", "doc_num"))
-                s = q @ x.T
-                if up:
-                    s = (q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None]
-                key = s if up else -s
-                n = min(k, len(rows))
-                pick = np.argpartition(key, n - 1, axis=1)[:, :n] if n < len(rows) else np.tile(np.arange(n), (len(q), 1))
-                edge = np.take_along_axis(key, pick, 1).max(1)[:, None]  # ties at the edge come along, vec_id decides later
-                at_q, at_x = np.nonzero(key <= edge)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[at_q]), pa.array(vec[at_x]), pa.array(doc[at_x]), pa.array(s[at_q, at_x])], names=["query_id", "vec_id", "doc_num", "score"])
-
-        part = vectors.select(F.col("vec_id").cast("long"), F.col("doc_num").cast("long"), "embedding").mapInArrow(search, schema)
+        matrix = spark.sparkContext.broadcast((own.column("query_id").to_numpy()[at], q.astype(np.float32)))
+        part = against.mapInArrow(_best_of(matrix, k, up), schema)
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         parts = spark.createDataFrame([], schema)
@@ -111,6 +96,63 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2"
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Scores that a task of knn_batch holds at once, and pairs that it scores again at once.
+TILE, AGAIN = 1 << 21, 1 << 15
+
+
+def _best_of(matrix, k: int, up: bool):
+    def run(batches):
+        qid, q = matrix.value
+        norm, dim = (q.astype(np.float64) ** 2).sum(1), q.shape[1]
+        best = np.full((len(q), k), np.inf)  # keys: distances, or negative products
+        best_vec, best_doc = np.full((len(q), k), np.iinfo(np.int64).max), np.zeros((len(q), k), np.int64)
+        for batch in batches:
+            rows, x = dense_rows(batch.column("embedding"), dim)
+            if not len(rows) or not len(q):
+                continue
+            vec, doc = (np.asarray(batch.column(c))[rows] for c in ("vec_id", "doc_num"))
+            for lo in range(0, len(x), 4096):
+                y, v, d = x[lo : lo + 4096], vec[lo : lo + 4096], doc[lo : lo + 4096]
+                single, length = y.astype(np.float32), (y**2).sum(1)
+                high = max(1, TILE // len(y))
+                for at in range(0, len(q), high):
+                    own = slice(at, at + high)
+                    s = q[own] @ single.T
+                    s = (norm[own, None] - 2.0 * s + length[None]).astype(np.float32) if up else -s
+                    # rounding of dim products and sums, twice for distances
+                    doubt = 4 * (dim + 4) * 2.0**-24 * (norm[own] + length.max() if up else np.sqrt(norm[own] * length.max()))
+                    limit = best[own, -1]
+                    if np.isinf(limit).any() and len(y) > k:
+                        limit = np.minimum(limit, np.partition(s, k - 1, axis=1)[:, k - 1] + doubt)
+                    i, j = np.nonzero(s <= (limit + doubt)[:, None])
+                    if not len(i):
+                        continue
+                    key = np.concatenate([_exact(q[at + i[z : z + AGAIN]], y[j[z : z + AGAIN]], up) for z in range(0, len(i), AGAIN)])
+                    touched = np.unique(i)
+                    all_i = np.concatenate((i, np.repeat(touched, k)))
+                    all_key = np.concatenate((key, best[at + touched].ravel()))
+                    all_vec, all_doc = np.concatenate((v[j], best_vec[at + touched].ravel())), np.concatenate((d[j], best_doc[at + touched].ravel()))
+                    order = np.lexsort((all_vec, all_key, all_i))
+                    starts = np.searchsorted(all_i[order], touched)
+                    pick = order[(starts[:, None] + np.arange(k)).ravel()]
+                    for kept, found in ((best, all_key), (best_vec, all_vec), (best_doc, all_doc)):
+                        kept[at + touched] = found[pick].reshape(-1, k)
+        at_q, at_k = np.nonzero(np.isfinite(best))
+        for z in range(0, len(at_q), 1 << 16):
+            a, c = at_q[z : z + (1 << 16)], at_k[z : z + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(best_vec[a, c]), pa.array(best_doc[a, c]), pa.array(best[a, c] if up else -best[a, c])], names=["query_id", "vec_id", "doc_num", "score"])
+
+    return run
+
+
+def _exact(a: np.ndarray, b: np.ndarray, up: bool) -> np.ndarray:
+    """Keys of pairs of rows, summed value after value as scores are elsewhere."""
+    a, out = a.astype(np.float64), np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += (a[:, i] - b[:, i]) ** 2 if up else a[:, i] * b[:, i]
+    return out if up else -out
+
+
 def mean_centroids(vectors: DataFrame, by: str) -> DataFrame:
     """Deterministic centroids: component means of given groups. (centroid, embedding array<double>)"""
     e = vectors.select(F.col(by).cast("long").alias("centroid"), F.posexplode("embedding").alias("i", "x"))
